@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, sharding, urls
+from tessera.llm import huffman, mixing, packing, sharding, urls, winnowing
 
 
 def queries() -> dict:
     return {
         "op3_mixing_tree": mixing.op3_mixing_tree,
+        "op4_best_fit": packing.op4_best_fit,
         "op6_jump_hash": sharding.op6_jump_hash,
+        "op7_huffman": huffman.op7_huffman,
+        "op8_winnowing": winnowing.op8_winnowing,
         "op10_url_cascade": urls.op10_url_cascade,
     }
 
