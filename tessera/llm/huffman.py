@@ -1,8 +1,8 @@
 """Token ids as files: canonical length-limited Huffman codes in independent blocks.
 
-A first pass counts ids over the whole corpus; the driver gets at most one count
+Documents are tokenized once, and ids counted over the whole corpus; the driver gets at most one count
 per id of the vocabulary and makes code lengths of up to MAX_BITS by
-package-merge. A second pass sorts documents by id into ranges and encodes them
+package-merge. Documents are then sorted by id in ranges and encoded
 in blocks of whole documents. A block holds its documents' ids and lengths, the
 code bits, and a checkpoint, the bit offset, at every SEGMENT ids. Blocks decode
 on their own, and a block's segments decode side by side through one table of
@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm import ranges
 from tessera.llm.scratch import Scratch
-from tessera.llm.tokens import WordTokenizer, strings, tokenizer
+from tessera.llm.tokens import WordTokenizer, tokenizer
 from tessera.llm.workers import prepare
 
 #: Longest code; a vocabulary may have up to 2**MAX_BITS ids.
@@ -131,21 +131,34 @@ def decode(payload: bytes, offsets: np.ndarray, counts: np.ndarray, table: tuple
 # -- writing and reading ----------------------------------------------------
 
 
-def count_ids(docs: DataFrame, vocabulary: str) -> np.ndarray:
-    """How often each id occurs in docs, end ids counted."""
+def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """docs (range, doc_id, text) with ids, 16 bits each and the end id last, in place of text."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = tokenizer(WordTokenizer, vocabulary)
-        total = np.zeros(found.library.get_vocab_size(), np.int64)
+        if found.library.get_vocab_size() > 1 << MAX_BITS:
+            raise ValueError(f"the vocabulary has more than {1 << MAX_BITS} ids")
+        end = np.array([END_ID], "<u2").tobytes()
         for batch in batches:
-            ids = np.frombuffer(b"".join(found.encode(strings(batch.column(0)))), "<u4")
+            ids = [i.astype("<u2").tobytes() + end for i in found.encode(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["range", "doc_id", "ids"])
+
+    return docs.select("range", "doc_id", "text").mapInArrow(run, "range int, doc_id long, ids binary")
+
+
+def count_ids(tokens: DataFrame) -> np.ndarray:
+    """How often each id occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << MAX_BITS, np.int64)
+        for batch in batches:
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2")
             total += np.bincount(ids, minlength=len(total))
-            total[END_ID] += batch.num_rows
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)
     for r in counted:
         total[r.id] = r.n
@@ -159,11 +172,14 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
     """Encode docs (doc_id, text) in ascending doc_id order, nulls first, under path, which must not exist.
 
     A null or empty text is its end id alone. Of equal doc_ids the order is that of
-    the texts' hashes. No documents make no blocks.
+    a hash of their ids. No documents make no blocks.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    bits = code_lengths(count_ids(docs, vocabulary))
+    bounds = ranges.range_bounds(docs)
+    scratch = Scratch(spark)
+    tokens = scratch.write(tokenize(docs.withColumn("range", ranges.range_of(F.col("doc_id"), bounds)), vocabulary))
+    bits = code_lengths(count_ids(tokens))
     codes = canonical_codes(bits)
     listed = F.split(F.lit(",".join(map(str, bits.tolist()))), ",")
     spark.range(1, numPartitions=1).select(F.posexplode(listed).alias("id", "bits")).select(
@@ -171,36 +187,33 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
     ).write.parquet(f"{path}/codes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, end = tokenizer(WordTokenizer, vocabulary), np.array([END_ID], "<u4").tobytes()
         block, first, held, size = 0, 0, [], 0
         own = None
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(d for _, d in held), "<u4")
+            ids = np.frombuffer(b"".join(d for _, d in held), "<u2")
             payload, checkpoints = encode(ids, bits, codes)
-            row = [own], [block], [first], [[i for i, _ in held]], [[len(d) // 4 for _, d in held]], [checkpoints], [payload]
+            row = [own], [block], [first], [[i for i, _ in held]], [[len(d) // 2 for _, d in held]], [checkpoints], [payload]
             types = pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()
             arrays = [pa.array(v, t) for v, t in zip(row, types, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names=["range", "block", "first", "doc_ids", "lengths", "checkpoints", "payload"])
 
         for batch in batches:
-            texts = strings(batch.column(2))
-            for part, doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), found.encode(texts), strict=True):
+            for part, doc_id, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if part != own or size >= BLOCK_IDS:
                     if held:
                         yield flush()
                     block, first = (block + 1, first + size) if part == own else (0, 0)
                     own, held, size = part, [], 0
-                held.append((doc_id, ids + end))
-                size += len(ids) // 4 + 1
+                held.append((doc_id, ids))
+                size += len(ids) // 2
         if held:
             yield flush()
 
-    bounds = ranges.range_bounds(docs)
-    placed = docs.withColumn("range", ranges.range_of(F.col("doc_id"), bounds))
-    placed = placed.repartitionById(len(bounds) + 1, F.col("range"))
-    ranged = placed.sortWithinPartitions("range", "doc_id", F.xxhash64("text"))
-    ranged.select("range", "doc_id", "text").mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    placed = tokens.repartitionById(len(bounds) + 1, F.col("range"))
+    ranged = placed.sortWithinPartitions("range", "doc_id", F.xxhash64("ids"))
+    ranged.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    scratch.drop(tokens)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.scratch import Scratch
-from tessera.llm.tokens import SpaceTokenizer, strings, tokenizer
+from tessera.llm.tokens import SpaceTokenizer, tokenizer
 from tessera.llm.workers import prepare
 
 CAPACITY = 2048
@@ -104,17 +104,17 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep_ids:
     """
     prepare(docs.sparkSession)
     schema = T.StructType([*_PIECES.fields, *[T.StructField("ids", T.BinaryType())] * keep_ids])
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(SpaceTokenizer, vocabulary).encode
         for batch in batches:
             columns: list[list] = [[] for _ in schema.fields]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(strings(batch.column(1))), strict=True):
-                data = memoryview(ids + end)
-                for n, (start, length) in enumerate(cut(len(data) // 4, capacity)):
-                    own = data[4 * start : 4 * (start + length)]
-                    row = (doc_id, n, start, length, zlib.crc32(own), *[bytes(own)] * keep_ids)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                data = np.concatenate([ids, end])
+                for n, (start, length) in enumerate(cut(len(data), capacity)):
+                    own = data[start : start + length].tobytes()
+                    row = (doc_id, n, start, length, zlib.crc32(own), *[own] * keep_ids)
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * keep_ids]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import huffman, mixing, packing, sharding, urls, winnowing
+from tessera.llm import huffman, mixing, packing, quality, sharding, toxicity, urls, winnowing
 
 
 def queries() -> dict:
     return {
+        "op2_quality_trees": quality.op2_quality_trees,
         "op3_mixing_tree": mixing.op3_mixing_tree,
         "op4_best_fit": packing.op4_best_fit,
+        "op5_toxic_grammar": toxicity.op5_toxic_grammar,
         "op6_jump_hash": sharding.op6_jump_hash,
         "op7_huffman": huffman.op7_huffman,
         "op8_winnowing": winnowing.op8_winnowing,

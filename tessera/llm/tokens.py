@@ -1,36 +1,40 @@
 """Token ids of whole texts, by a vocabulary file of the tokenizers library.
 
-The library spends most of its time on words it has met before. Here a text is
-cut at places where no token can cross, and the ids of each chunk are kept: the
-library sees a chunk once per worker. Texts that can't be cut so go to the
-library whole. The ids are those that it gives for the whole text.
+The library is slow on what it has met before, and texts repeat their words.
+Arrow cuts a batch of texts at places where no token can cross, and numbers the
+distinct chunks; a chunk's ids are looked up once per batch. Chunks are kept from
+batch to batch, and so are the words (the library's own cut) that new chunks
+consist of; the library encodes words that are new to a worker. Texts, chunks and
+words that can't be taken apart safely go to the library whole. The ids are those
+that it gives for the whole text.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
-#: Chunks kept by a worker, about 80 MB; at this many it starts anew.
-MAX_CHUNKS = 400_000
-#: Longer chunks are not kept.
-MAX_CHUNK_CHARS = 64
-#: Characters cut at once, so that long texts don't add up.
-GROUP_CHARS = 4_000_000
+#: Chunks and words kept by a worker, under 250 MB; at so many it starts anew.
+MAX_CHUNKS, MAX_WORDS = 400_000, 700_000
+#: Longer chunks and words are not kept.
+MAX_KEPT_CHARS = 64
+#: Bytes of text taken at once, so that long texts don't add up.
+GROUP_BYTES = 4_000_000
+#: Words in one call of the library.
+CALL_WORDS = 50_000
 
-_SPACES = re.compile(r" \s* ")
+#: White space by Unicode, and what Python adds to it.
+_SPACE = "\\s\\v\x1c-\x1f\u0085   -     　"
 
 
 class ChunkTokenizer:
-    """encode() gives each text's ids as little-endian unsigned 32-bit integers.
-
-    Special tokens' strings in a text are ordinary text. A null text is empty.
-    """
+    """encode() gives the ids of texts. Special tokens' strings in a text are ordinary text."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,120 +42,188 @@ class ChunkTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.kept: dict[str | bytes, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    # -- what a vocabulary's cut decides --
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """Chunks of each text, and which texts must not be cut."""
+        raise NotImplementedError
+
+    def _text(self, chunk: str) -> str:
+        """What to encode for a chunk."""
+        return chunk
+
+    def _words(self, chunks: list[str]) -> list[list[str] | None]:
+        """The words of each chunk, None for one that the library must take whole."""
+        raise NotImplementedError
+
+    def _encode_words(self, words: list[str]) -> list[bytes] | None:
+        """The ids of each word by one call, None if their ends can't be told."""
+        raise NotImplementedError
+
+    # -- common --
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        group, size = [], 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        raise NotImplementedError
-
-    def _learn(self, chunks: set, joined: Callable[[list], list[bytes] | None], alone: Callable) -> dict:
-        """The ids of all chunks; those not yet kept are encoded, many in one call."""
-        if len(self.kept) > MAX_CHUNKS:
-            self.kept.clear()
-        new = sorted(chunks.difference(self.kept))
-        ids = joined(new)
-        if ids is None:
-            ids = self.whole([alone(c) for c in new])
-        found = dict(zip(new, ids, strict=True))
-        long = {c: i for c, i in found.items() if len(c) > MAX_CHUNK_CHARS}
-        for c in long:
-            del found[c]
-        self.kept.update(found)
-        return long
-
-    def _joined(self, text: str, separator: int, count: int) -> list[bytes] | None:
-        """The ids between count - 1 separators in text; None if there are more or fewer."""
-        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == separator)
-        if len(cuts) != count - 1:
-            return None
-        data, edges = ids.tobytes(), [0, *(cuts * 4).tolist()]
-        starts = [0, *((cuts + 1) * 4).tolist()]
-        return [data[a:b] for a, b in zip(starts, [*edges[1:], len(data)], strict=True)]
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers; a null text is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + GROUP_BYTES, side="right")))
+            yield from self._group(texts.slice(at, end - at))
+            at = end
+
+    def _group(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        cut, uncut = self._cut(texts)
+        numbered = cut.flatten().dictionary_encode()
+        index = numbered.indices.to_numpy(zero_copy_only=False)
+        lists = cut.offsets.to_numpy(zero_copy_only=False)
+        lists = lists - lists[0]
+        table, index = self._table(numbered.dictionary.to_pylist(), index, lists, texts)
+        sizes = np.array([len(ids) for ids in table], np.int64) // 4
+        data = np.frombuffer(b"".join(table), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        # the ids of all chunks in a row, gathered by place
+        own = sizes[index]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = data[np.repeat(starts[index] - (ends - own), own) + np.arange(total)] if total else data[:0]
+        edges = np.concatenate([[0], ends])[lists]
+        whole = iter(self.whole([texts[i].as_py() for i in np.flatnonzero(uncut)]))
+        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            yield np.frombuffer(next(whole), "<u4") if uncut[i] else ids[a:b]
+
+    def _table(self, chunks: list[str], index: np.ndarray, lists: np.ndarray, texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """The ids of each distinct chunk, and the number of each chunk in a row."""
+        return self._look_up(chunks), index
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.chunks.get, chunks))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            if len(self.chunks) > MAX_CHUNKS:
+                self.chunks.clear()
+            for i, ids in zip(new, self._learn([chunks[i] for i in new]), strict=True):
+                found[i] = ids
+                if len(chunks[i]) <= MAX_KEPT_CHARS:
+                    self.chunks[chunks[i]] = ids
+        return found
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        parts = self._words(chunks)
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        new = list({w for words in parts if words for w in words}.difference(self.words))
+        found = {}
+        for i in range(0, len(new), CALL_WORDS):
+            call = new[i : i + CALL_WORDS]
+            found.update(zip(call, self._encode_words(call) or self.whole(call), strict=True))
+        long = {w: ids for w, ids in found.items() if len(w) > MAX_KEPT_CHARS}
+        self.words.update(found)
+        whole = iter(self.whole([self._text(c) for c, words in zip(chunks, parts, strict=True) if words is None]))
+        get = self.words.__getitem__
+        out = [next(whole) if words is None else b"".join(map(get, words)) for words in parts]
+        for w in long:
+            del self.words[w]
+        return out
 
 
 class SpaceTokenizer(ChunkTokenizer):
     """For byte-level vocabularies whose words take the space before them.
 
-    Such a space starts a token, unless it stands in a run with another space.
-    Chunks are kept without their space; a text's first chunk has none.
+    Such a space starts a word, unless it stands in a run with another space; texts
+    with such runs are not cut. Chunks come without their space. A text's first
+    chunk has none, so it is looked up as a word or on its own.
     """
 
+    #: Fixed value: the cut of this kind of vocabulary.
+    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
     def __init__(self, path: str):
         super().__init__(path)
         self.line = int(np.frombuffer(self.whole(["\n"])[0], "<u4")[0])
 
-    def _join(self, new: list[str]) -> list[bytes] | None:
-        plain = [c for c in new if c.split() == [c]]
-        found = {}
-        for i in range(0, len(plain), 50_000):
-            part = plain[i : i + 50_000]
-            # a line end before a space is a token of its own
-            ids = self._joined("\n".join(" " + c for c in part), self.line, len(part))
-            if ids is None:
-                return None
-            found.update(zip(part, ids, strict=True))
-        others = [c for c in new if c not in found]
-        found.update(zip(others, self.whole([" " + c for c in others]), strict=True))
-        return [found[c] for c in new]
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        cut = {i: t.split(" ") for i, t in enumerate(texts) if not _SPACES.search(t)}
-        long = self._learn({c for chunks in cut.values() for c in chunks[1:]}, self._join, lambda c: " " + c)
-        heads = iter(self.whole([c[0] for c in cut.values()]))
-        others = iter(self.whole([t for i, t in enumerate(texts) if i not in cut]))
-        get = self.kept.__getitem__ if not long else lambda c: long[c] if c in long else self.kept[c]
-        for i in range(len(texts)):
-            yield next(heads) + b"".join(map(get, cut[i][1:])) if i in cut else next(others)
+    def _cut(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        uncut = pc.match_substring_regex(texts, f" [{_SPACE}]* ").to_numpy(zero_copy_only=False)
+        return pc.split_pattern(pc.if_else(pa.array(uncut), "", texts), " "), uncut
+
+    def _table(self, chunks, index, lists, texts):
+        firsts = [chunks[i] for i in index[lists[:-1]].tolist()]
+        heads = sorted(set(firsts))
+        at = {c: len(chunks) + i for i, c in enumerate(heads)}
+        index = index.copy()
+        index[lists[:-1]] = [at[c] for c in firsts]
+        words = [self.PATTERN.findall(c) for c in heads]
+        return self._look_up(chunks) + [b"".join(self._known(w) for w in ws) for ws in words], index
+
+    def _known(self, word: str) -> bytes:
+        return self.words.get(word) or self.whole([word])[0]
+
+    def _text(self, chunk: str) -> str:
+        return " " + chunk
+
+    def _words(self, chunks: list[str]) -> list[list[str] | None]:
+        find = self.PATTERN.findall
+        return [find(" " + c) for c in chunks]
+
+    def _encode_words(self, words: list[str]) -> list[bytes] | None:
+        # a line end before a word is a token of its own
+        plain = [w for w in words if w.removeprefix(" ").split() == [w.removeprefix(" ")]]
+        data = np.array(self.library.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(data == self.line)
+        if len(cuts) != max(len(plain) - 1, 0):
+            return None
+        found = dict(zip(plain, _pieces(data, np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(data)]])), strict=False))
+        others = [w for w in words if w not in found]
+        found.update(zip(others, self.whole(others), strict=True))
+        return [found[w] for w in words]
 
 
 class WordTokenizer(ChunkTokenizer):
-    """For vocabularies that drop white space: chunks are what stands between ASCII white space."""
+    """For vocabularies of lower-case words with an end mark, which drop white space.
+
+    Chunks are what stands between ASCII white space. Words are taken from chunks
+    of Latin letters only, on which lower case and normal forms are plain.
+    """
+
+    #: Fixed value: the cut of this kind of vocabulary.
+    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    _PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ž]+")
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.mark = int(np.frombuffer(self.whole(["\0"])[0], "<u4")[0])
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _join(self, new: list[bytes]) -> list[bytes] | None:
-        plain = [c for c in new if b"\0" not in c]
-        found = {}
-        for i in range(0, len(plain), 50_000):
-            part = plain[i : i + 50_000]
-            ids = self._joined(b" \0 ".join(part).decode(), self.mark, len(part))
-            if ids is None:
-                return None
-            found.update(zip(part, ids, strict=True))
-        others = [c for c in new if c not in found]
-        found.update(zip(others, self.whole([c.decode() for c in others]), strict=True))
-        return [found[c] for c in new]
-
-    def _group(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [t.encode().split() for t in texts]
-        long = self._learn({c for chunks in cut for c in chunks}, self._join, bytes.decode)
-        get = self.kept.__getitem__ if not long else lambda c: long[c] if c in long else self.kept[c]
-        for chunks in cut:
-            yield b"".join(map(get, chunks))
+    def _cut(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        return pc.ascii_split_whitespace(texts), np.zeros(len(texts), bool)
+
+    def _words(self, chunks: list[str]) -> list[list[str] | None]:
+        find, plain = self.PATTERN.findall, self._PLAIN.fullmatch
+        return [[] if not c else find(c.lower()) if plain(c) else None for c in chunks]
+
+    def _encode_words(self, words: list[str]) -> list[bytes] | None:
+        data = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[data]) + 1
+        if len(ends) != len(words):
+            return None
+        return _pieces(data, np.concatenate([[0], ends[:-1]]), ends)
+
+
+def _pieces(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    data = ids.tobytes()
+    return [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=4)
 def tokenizer(kind: type[ChunkTokenizer], path: str) -> ChunkTokenizer:
     """One per worker, kept from task to task."""
     return kind(path)
-
-
-def strings(column: pa.Array) -> list[str]:
-    """A string column with nulls as empty strings."""
-    return [t or "" for t in column.to_pylist()]

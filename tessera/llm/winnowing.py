@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm import ranges
 from tessera.llm.workers import prepare
@@ -120,18 +119,19 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = ranges.range_bounds(docs)
     placed = docs.withColumn("range", ranges.range_of(F.col("doc_id"), bounds))
-    if bounds:
-        # a range's first row: the highest doc_id there, of equal ones the smallest hash
-        rank = F.struct(F.col("doc_id").isNotNull(), "doc_id", -F.xxhash64("text").cast("decimal(20,0)"))
-        firsts = placed.groupBy("range").agg(F.max(rank).alias("rank"))
-        everything = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        above = F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(everything))
-        firsts = firsts.select(F.col("range").alias("__own"), "rank", above.alias("also"))
-        placed = placed.join(firsts, (F.col("range") == F.col("__own")) & (rank == F.col("rank")), "left")
-    else:
-        first = docs.agg(F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id"))).first()[0]
-        is_first = F.col("doc_id").eqNullSafe(F.lit(first and first[1]).cast("bigint"))
-        placed = placed.withColumn("also", F.when(is_first, 0))
+    # a range's first row: the highest doc_id there, of equal ones the smallest hash. There are
+    # MAX_RANGES at most, so they travel through the driver and no join moves the texts
+    tie = F.xxhash64("text")
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-tie.cast("decimal(20,0)")).alias("tie")))
+    firsts = {r.range: r.first for r in placed.groupBy("range").agg(first.alias("first")).collect()}
+    order = sorted(firsts)
+    above = dict(zip(order, order[1:] + order[:1], strict=True))
+    of = lambda values: F.element_at(
+        F.split(F.lit(",".join(str(values.get(r, "")) for r in range(len(bounds) + 1))), ","), F.col("range") + 1
+    ).try_cast("bigint")
+    is_first = F.col("doc_id").eqNullSafe(of({r: f.doc_id for r, f in firsts.items() if f.known}))
+    is_first &= tie == of({r: -int(f.tie) for r, f in firsts.items()})
+    placed = placed.withColumn("also", F.when(is_first, of(above).cast("int")))
     own = F.struct(F.col("range"), F.lit(0).alias("carried"))
     carried = F.struct(F.col("also").alias("range"), F.lit(1).alias("carried"))
     copies = F.filter(F.array(own, carried), lambda c: c["range"].isNotNull())
