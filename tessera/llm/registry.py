@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import huffman, mixing, packing, quality, sharding, toxicity, urls, winnowing
+from tessera.llm import dedup, huffman, mixing, packing, quality, sharding, toxicity, urls, winnowing
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_groups": dedup.op1_minhash_groups,
         "op2_quality_trees": quality.op2_quality_trees,
         "op3_mixing_tree": mixing.op3_mixing_tree,
         "op4_best_fit": packing.op4_best_fit,

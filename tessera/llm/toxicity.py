@@ -47,8 +47,9 @@ REPORTS = frozenset(
 
 #: A stem is a word's first so many characters.
 STEMS = (4, 5, 6, 7)
-#: A learned form needs so many toxic documents, such a share of its documents, and to be so many deviations above chance.
-LEAST_DOCS, LEAST_SHARE, LEAST_Z = 4, 0.6, 6.0
+#: A learned form needs so many toxic documents, such a share of its documents (a stem more, as it also
+#: starts words that are harmless), and to be so many deviations above chance.
+LEAST_DOCS, LEAST_SHARE, LEAST_STEM_SHARE, LEAST_Z = 4, 0.75, 0.92, 6.0
 #: Learned forms kept, the most telling ones.
 MAX_FORMS = 3000
 SEED_WEIGHT = 4.0
@@ -151,7 +152,8 @@ def learn_lexicon(toxic: np.ndarray, clean: np.ndarray, names: list[str], toxic_
     n = toxic + clean
     expected = n * toxic_docs / max(toxic_docs + clean_docs, 1)
     z = (toxic - expected) / np.sqrt(np.maximum(expected, 1e-9))
-    keep = (toxic >= LEAST_DOCS) & (toxic >= LEAST_SHARE * n) & (z >= LEAST_Z)
+    share = np.array([LEAST_STEM_SHARE if f.endswith("*") else LEAST_SHARE for f in names])
+    keep = (toxic >= LEAST_DOCS) & (toxic >= share * n) & (z >= LEAST_Z)
     odds = np.log((toxic + 0.5) / (toxic_docs + 1)) - np.log((clean + 0.5) / (clean_docs + 1))
     return {names[i]: float(odds[i]) for i in np.flatnonzero(keep)}
 
