@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import dedup, huffman, mixing, packing, quality, sharding, toxicity, urls, winnowing
+from tessera.llm import audio, dedup, huffman, mixing, packing, quality, sharding, toxicity, urls, winnowing
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_jump_hash": sharding.op6_jump_hash,
         "op7_huffman": huffman.op7_huffman,
         "op8_winnowing": winnowing.op8_winnowing,
+        "op9_chroma": audio.op9_chroma,
         "op10_url_cascade": urls.op10_url_cascade,
     }
 
