@@ -10,15 +10,15 @@
    chance of reaching the threshold is below MISS. Survivors are verified on the
    full sets, one best pair per document first, the others only where the
    documents are not connected by then.
-4. Buckets whose members are still in several components go through the ladder:
-   the next LEADERS members lead, and pair with all members of other components,
-   until each has led. So every two documents that share a band's key are either
-   connected or compared, without pairing a bucket with itself.
+4. Buckets whose members are still in several components are compared whole, in
+   blocks of BLOCK members, by signature. Each member's closest partners in other
+   components are verified, a few at first and then more, until none is left that
+   the posterior allows. So every two documents that share a band's key are either
+   connected or compared, and pairs that can't matter leave no row.
 5. Confirmed links give components by label propagation.
 
 At a similarity of 0.75 two documents share no band's key with probability
-(1 - 0.75**4)**32 = 5e-6. Linear in the corpus: pairs per bucket are bounded by its
-members times LEADERS a round. Hot buckets are split by adaptive skew joins.
+(1 - 0.75**4)**32 = 5e-6. Hot buckets are split by adaptive skew joins and by blocks.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -43,9 +44,11 @@ THRESHOLD = 75
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hashes compared at once, and the posterior chance at which a pair is given up.
-BATCH, MISS = 16, 1e-7
-#: Members of an unsettled bucket that lead in one round of the ladder.
-LEADERS = 32
+BATCH, MISS = 16, 1e-6
+#: Members of an unsettled bucket in one block; two blocks at a time meet in a task.
+BLOCK = 1024
+#: How many partners of a member are verified by the end of each round; the last bound has no end.
+ROUNDS = (2, 16, 128, 2**31)
 #: Shingles hashed at once; bounds memory for very long texts.
 CHUNK = 4096
 #: Bytes of text taken at once.
@@ -233,24 +236,32 @@ class _Search:
         self.docs, self.reps, self.scratch = docs, reps, scratch
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
-        self.tried: DataFrame | None = None
 
     def connect(self, pairs: DataFrame) -> None:
-        """Test pairs (a < b) not tried before, and join the components of those that hold."""
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = self.scratch.write(pairs)
-        self.tried = pairs if self.tried is None else self.scratch.write(self.tried.union(pairs))
+        """Test pairs (a < b), and join the components of those that hold."""
         survivors = self.scratch.write(_sequential(pairs, self.reps))
-        ids = survivors.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        # a representative's text is any with its id and set: repeated ids are told apart by their sets
-        sets = self.scratch.write(_sets(self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
         best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")
         ranked = survivors.withColumn("turn", F.row_number().over(best))
+        sets = self._sets_of(survivors)
         self._add(_verified(ranked.where("turn = 1"), sets))
         self._add(_verified(self._apart(ranked.where("turn > 1")), sets))
         self.scratch.drop(survivors, sets)
 
+    def settle(self, members: DataFrame) -> None:
+        """Compare unsettled buckets whole, in rounds; places among partners are those of the first round."""
+        before = 0
+        for until in ROUNDS:
+            pairs = self.scratch.write(self._apart(_across(self._still(members), self.reps, before, until)))
+            if pairs.isEmpty():
+                return
+            self._add(_verified(pairs, self._sets_of(pairs)))
+            before = until
+
+    def _sets_of(self, pairs: DataFrame) -> DataFrame:
+        """The full sets of all documents in pairs; ids are taken to name one text."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        return self.scratch.write(_sets(self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+
     def _add(self, found: DataFrame) -> None:
         found = self.scratch.write(found)
         self.links = found if self.links is None else self.scratch.write(self.links.union(found))
@@ -264,6 +275,10 @@ class _Search:
         found = self._labelled(self._labelled(pairs, "a", "ca"), "b", "cb")
         return found.where("ca <> cb").drop("ca", "cb")
 
+    def _still(self, members: DataFrame) -> DataFrame:
+        """members of buckets that hold several components by now, with the components they came with."""
+        return members.join(self.unsettled(members.drop("component")).select("key").distinct(), "key", "left_semi")
+
     def unsettled(self, members: DataFrame) -> DataFrame:
         """members (key, id, n) of buckets that hold several components, with the component."""
         known = self._labelled(members, "id", "component")
@@ -294,14 +309,7 @@ def groups(docs: DataFrame) -> DataFrame:
     first = members.groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("lead"))
     search = _Search(docs, reps, scratch)
     search.connect(_pairs(members.join(first.select("key", "lead.id", "lead.n").toDF("key", "lead", "lead_n"), "key")))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-    ranked = scratch.write(search.unsettled(members).withColumn("rank", F.row_number().over(order)).drop("component"))
-    done = 0
-    while not (left := scratch.write(search.unsettled(ranked))).where(F.col("rank") > done + 1).isEmpty():
-        leads = left.where(F.col("rank").between(done + 1, done + LEADERS))
-        leads = leads.select("key", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_in"))
-        search.connect(_pairs(left.join(leads, "key").where("component <> lead_in")))
-        done += LEADERS
+    search.settle(scratch.write(search.unsettled(members)))
     keys = reps.select("set_key", F.col("doc_id").alias("rep"))
     found = signed.join(keys, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     found = search._labelled(found, "rep", "component_id")
@@ -310,6 +318,41 @@ def groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", component, kept)
 
 
+def _across(members: DataFrame, reps: DataFrame, before: int, until: int) -> DataFrame:
+    """Distinct pairs a < b of members of a bucket that are in different components and may be alike.
+
+    Of each member's partners, closest signatures first, those from place before to until.
+    """
+    count = Window.partitionBy("key")
+    members = members.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(count) / BLOCK).cast("int"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    members = members.withColumn("block", block)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    spread = members.withColumn("other", other).select("key", "id", "n", "component", "block", low.alias("low"), high.alias("high"))
+    spread = spread.join(reps.select(F.col("doc_id").alias("id"), "short"), "id")
+    least = int(least_matches()[-1])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        signs = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(-1, HASHES)
+        ids, sizes, parts, blocks = (rows[c].to_numpy() for c in ("id", "n", "component", "block"))
+        crossing = rows["low"].iloc[0] != rows["high"].iloc[0]
+        out = []
+        for i in range(len(rows)):
+            can = (parts != parts[i]) & (100 * np.minimum(sizes, sizes[i]) >= THRESHOLD * np.maximum(sizes, sizes[i]))
+            if crossing:
+                can &= blocks != blocks[i]
+            at = np.flatnonzero(can)
+            matches = (signs[at] == signs[i]).sum(axis=1)
+            at, matches = at[matches >= least], matches[matches >= least]
+            chosen = at[np.lexsort((ids[at], -matches))[before:until]]
+            out += [(min(ids[i], x), max(ids[i], x)) for x in ids[chosen].tolist()]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+
+    return spread.groupBy("key", "low", "high").applyInPandas(run, "a long, b long").distinct()
+
+
 def _pairs(led: DataFrame) -> DataFrame:
     """Distinct pairs a < b of members and their leaders that can be alike by size."""
     led = led.where((F.col("id") != F.col("lead")) & _alike_sizes(F.col("n"), F.col("lead_n")))
