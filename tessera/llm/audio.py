@@ -27,7 +27,7 @@ SPAN = 16
 #: Bounds of a filter's levels.
 LEVELS = np.array([-0.15, 0.0, 0.15])
 #: (kind, first pitch class, classes, frames): contrast of halves in time, in pitch, or of the quarters' diagonals.
-FILTERS = [(kind, low, high, width) for kind in ("time", "pitch", "diagonal") for low, high, width in ((0, 12, 16), (0, 6, 8), (6, 6, 8), (3, 6, 16), (4, 4, 12), (8, 4, 4))][:16]
+FILTERS = [(kind, low, high, width) for kind in ("time", "pitch", "diagonal") for low, high, width in ((2, 8, 16), (0, 6, 8), (6, 6, 8), (3, 6, 16), (4, 4, 12), (8, 4, 4))][:16]
 #: A match needs so many agreeing integers at one offset, compared without their low bits, and at most such a share of differing bits.
 LEAST_VOTES, DROPPED_BITS, MOST_ERRORS = 2, 4, 0.25
 
