@@ -13,8 +13,9 @@
 4. Buckets whose members are still in several components are compared whole, in
    blocks of BLOCK members, by signature. Each member's closest partners in other
    components are verified, a few at first and then more, until none is left that
-   the posterior allows. So every two documents that share a band's key are either
-   connected or compared, and pairs that can't matter leave no row.
+   the posterior allows; later rounds compare only members with partners left. So
+   every two documents that share a band's key are either connected or compared,
+   and pairs that can't matter leave no row.
 5. Confirmed links give components by label propagation.
 
 At a similarity of 0.75 two documents share no band's key with probability
@@ -249,12 +250,16 @@ class _Search:
 
     def settle(self, members: DataFrame) -> None:
         """Compare unsettled buckets whole, in rounds; places among partners are those of the first round."""
-        before = 0
+        before, waiting = 0, None
         for until in ROUNDS:
-            pairs = self.scratch.write(self._apart(_across(self._still(members), self.reps, before, until)))
-            if pairs.isEmpty():
+            found = self.scratch.write(_across(self._still(members), self.reps, waiting, before, until))
+            pairs = self.scratch.write(self._apart(found.where("NOT more").select("a", "b").distinct()))
+            if not pairs.isEmpty():
+                self._add(_verified(pairs, self._sets_of(pairs)))
+            # pairs of this round may all be connected by now while later places hold others
+            waiting = found.where("more").select("key", "low", "high", F.col("a").alias("id"))
+            if waiting.isEmpty():
                 return
-            self._add(_verified(pairs, self._sets_of(pairs)))
             before = until
 
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
@@ -318,28 +323,38 @@ def groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", component, kept)
 
 
-def _across(members: DataFrame, reps: DataFrame, before: int, until: int) -> DataFrame:
-    """Distinct pairs a < b of members of a bucket that are in different components and may be alike.
+_CELL = ["key", "low", "high"]
 
-    Of each member's partners, closest signatures first, those from place before to until.
+
+def _across(members: DataFrame, reps: DataFrame, waiting: DataFrame | None, before: int, until: int) -> DataFrame:
+    """Pairs a < b of members of a bucket that are in different components and may be alike.
+
+    Of each member's partners, closest signatures first, those from place before to
+    until. A row with more set names a member, a, that has partners beyond until in
+    its cell (key, low, high); the next round takes these rows as waiting, and
+    compares no other member's partners again.
     """
-    count = Window.partitionBy("key")
-    members = members.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(count) / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = members.withColumn("block", block)
+    counted = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    members = members.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     spread = members.withColumn("other", other).select("key", "id", "n", "component", "block", low.alias("low"), high.alias("high"))
+    if waiting is None:
+        spread = spread.withColumn("turn", F.lit(True))
+    else:
+        turns = waiting.withColumn("turn", F.lit(True))
+        spread = spread.join(waiting.select(*_CELL).distinct(), _CELL, "left_semi").join(turns, [*_CELL, "id"], "left")
+        spread = spread.fillna(False, ["turn"])
     spread = spread.join(reps.select(F.col("doc_id").alias("id"), "short"), "id")
     least = int(least_matches()[-1])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
         signs = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(-1, HASHES)
         ids, sizes, parts, blocks = (rows[c].to_numpy() for c in ("id", "n", "component", "block"))
-        crossing = rows["low"].iloc[0] != rows["high"].iloc[0]
-        out = []
-        for i in range(len(rows)):
+        crossing = key[1] != key[2]
+        pairs, more = set(), []
+        for i in np.flatnonzero(rows["turn"].to_numpy(bool)).tolist():
             can = (parts != parts[i]) & (100 * np.minimum(sizes, sizes[i]) >= THRESHOLD * np.maximum(sizes, sizes[i]))
             if crossing:
                 can &= blocks != blocks[i]
@@ -347,10 +362,15 @@ def _across(members: DataFrame, reps: DataFrame, before: int, until: int) -> Dat
             matches = (signs[at] == signs[i]).sum(axis=1)
             at, matches = at[matches >= least], matches[matches >= least]
             chosen = at[np.lexsort((ids[at], -matches))[before:until]]
-            out += [(min(ids[i], x), max(ids[i], x)) for x in ids[chosen].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    return spread.groupBy("key", "low", "high").applyInPandas(run, "a long, b long").distinct()
+            pairs.update((min(ids[i], x), max(ids[i], x), False) for x in ids[chosen].tolist())
+            if len(at) > until:
+                more.append((ids[i], ids[i], True))
+        found = pd.DataFrame([*sorted(pairs), *more], columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": bool})
+        return found.assign(**dict(zip(_CELL, key, strict=True)))[[*_CELL, "a", "b", "more"]]
+
+    # few bytes, much work: partitions that are small must not be merged
+    dealt = spread.repartition(int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_CELL)
+    return dealt.groupBy(*_CELL).applyInPandas(run, "key long, low int, high int, a long, b long, more boolean")
 
 
 def _pairs(led: DataFrame) -> DataFrame:
