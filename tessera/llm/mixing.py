@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a splitting tree.
 
 Each source gets a share of the words by weight, at most MAX_REPEATS times its
-own size. A source is cut into blocks of documents by a hash. Whole passes take
-every block; the rest of the target takes blocks in a permuted order, and
-documents of one last block until the target is met. Every (pass, block) of a
+own size. A source is cut into blocks of documents by a hash; a long document is a
+block of its own. Whole passes take every block; the rest of the target takes blocks
+in a permuted order, skipping long documents that don't fit, and documents of one
+last block until the target is met. Every (pass, block) of a
 source is one draw. A tree splits all draws among the output shards: at each
 node a random subset of exact size goes left, so the counts per source on the
 left are one multivariate hypergeometric sample and those on the right the rest.
@@ -23,13 +24,13 @@ from tessera.llm.scratch import Scratch
 
 #: No document is taken more often.
 MAX_REPEATS = 3
-#: A source has a block for each so many documents, but MAX_BLOCKS at most. Draws are
-#: numbered in one window, so this bounds them to sources x MAX_BLOCKS x MAX_REPEATS.
-BLOCK_DOCS, MAX_BLOCKS = 256, 4096
+#: A source has a block for each so many documents, but MAX_BLOCKS at most. A document of
+#: more than 1 / LONG of a mean block (or, so that there are fewer than MAX_BLOCKS of them,
+#: 1 / MAX_BLOCKS of the source) is a block of its own. Draws are numbered in one window, so
+#: this bounds them to sources x 2 MAX_BLOCKS x MAX_REPEATS.
+BLOCK_DOCS, MAX_BLOCKS, LONG = 256, 4096, 16
 SHARDS = 16
 SEED = 17
-#: Rows that may fill what the last block's prefix leaves of a target, before the nearest.
-FILLS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 _FIRST = Window.unboundedPreceding
 
@@ -94,53 +95,102 @@ def place(sized: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
         )
     )
     rows = _join(sized, sources, "source")
-    rows = rows.withColumn("block", F.pmod(F.shiftright(_hash("id", seed), 7), F.col("blocks")))
-    blocks = scratch.write(_choose_blocks(rows, seed))
+    drawn = F.shiftright(_hash("id", seed), 7)
+    long = F.col("size") * F.least(F.col("blocks") * LONG, F.lit(MAX_BLOCKS)) > F.col("source_size")
+    rows = rows.withColumn("block", F.when(long, -1 - F.pmod(drawn, F.lit(1 << 50))).otherwise(F.pmod(drawn, F.col("blocks"))))
+    blocks = scratch.write(_choose_blocks(rows, seed, scratch))
     rows = _join(rows.drop("passes"), blocks.drop("turn"), "source", "block")
     rest = rows.where(F.col("cut").isNull()).withColumn("extra", F.col("whole"))
     columns = [*sized.columns, "source_size", "target", "block", "passes", "extra"]
-    rows = rest.select(*columns).unionByName(_cut(rows.where(F.col("cut").isNotNull()), seed).select(*columns))
+    rows = rest.select(*columns).unionByName(_cut(rows.where(F.col("cut").isNotNull()), seed, scratch).select(*columns))
     placements = F.filter("draws", lambda d: d["pass"] < F.col("passes") + F.col("extra"))
     placed = _join(rows, _deal(blocks, shards, seed), "source", "block").withColumn("placements", placements)
     return placed.select(*sized.columns, "source_size", "target", "placements")
 
 
-def _choose_blocks(rows: DataFrame, seed: int) -> DataFrame:
+def _choose_blocks(rows: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """Blocks (source, block, turn, passes, whole, cut), taken in permuted order until the target is met.
 
     whole: 1 if the block is taken once more than passes. cut: words still wanted of it, or null.
     """
     same = ("source_size", "target", "passes")
-    blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in same))
-    permuted = Window.partitionBy("source").orderBy(_hash("block", "source", seed + 1), "block")
-    before = F.coalesce(F.sum("words").over(permuted.rowsBetween(_FIRST, -1)), F.lit(0))
-    wanted = F.greatest(F.col("target") - F.col("passes") * F.col("source_size"), F.lit(0.0))
-    blocks = blocks.withColumns({"turn": F.row_number().over(permuted) - 1, "left": wanted - before})
-    whole = (F.col("left") > 0) & (F.col("words") <= F.col("left") + 1e-6)
-    cut = (F.col("left") > 0) & (F.col("words") > F.col("left") + 1e-6)
-    return blocks.select(
-        "source", "block", "turn", "passes", whole.cast("int").alias("whole"), F.when(cut, F.col("left")).alias("cut")
-    )
-
-
-def _cut(rows: DataFrame, seed: int) -> DataFrame:
-    """rows of each source's last block with extra: 1 for those that the target still takes.
-
-    In hash order while they fit; then, FILLS times, the largest row that fits what
-    is left; then the row that comes nearest to it, if that is nearer than none.
+    blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("size"), *(F.first(c).alias(c) for c in same))
+    wanted = F.greatest(F.round(F.col("target") - F.col("passes") * F.col("source_size")), F.lit(0.0)).cast("bigint")
+    can_cut = (F.col("block") >= 0) & (F.col("size") > 0)
+    permuted = [_hash("block", "source", seed + 1), F.col("block")]
+    blocks = _choose(blocks.withColumns({"wanted": wanted, "can_cut": can_cut}), permuted, scratch)
+    own = Window.partitionBy("source")
+    # what is missing comes from the first block not taken, what is too much goes from the last one taken
+    side = F.col("can_cut") & (F.col("extra") == (F.col("off") < 0).cast("int"))
+    at = F.when(F.col("off") > 0, F.min(F.when(side, F.col("turn"))).over(own))
+    at = F.when(F.col("off") < 0, F.max(F.when(side, F.col("turn"))).over(own)).otherwise(at)
+    cut = F.when(F.col("turn") == at, F.when(F.col("off") > 0, F.col("off")).otherwise(F.col("size") + F.col("off")))
+    blocks = blocks.withColumn("cut", cut.cast("double"))
+    whole = F.when(F.col("cut").isNull(), F.col("extra")).otherwise(0)
+    return blocks.select("source", "block", "turn", "passes", whole.alias("whole"), "cut")
+
+
+def _cut(rows: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
+    """rows of each source's last block with extra: 1 for those that the target still takes."""
+    rows = rows.withColumns({"wanted": F.col("cut").cast("bigint"), "can_cut": F.lit(False)})
+    return _choose(rows, [_hash("id", seed + 9), F.col("size")], scratch)
+
+
+def _choose(items: DataFrame, order: list[Column], scratch: Scratch) -> DataFrame:
+    """items (source, size, wanted, can_cut, ...) with turn, extra (1 if taken) and off, what the taken ones lack of wanted.
+
+    Those before the first that overshoots are taken in the given order; then, largest first,
+    all that fit, until none does. If words are missing then and no item that can be cut is
+    left, the smallest of the rest is taken and what it overshoots is given back, largest
+    first, if that comes nearer or leaves an item to cut. wanted 0 takes nothing.
+    """
+    own = Window.partitionBy("source")
+    by = own.orderBy(*order)
+    items = items.withColumns({"turn": F.row_number().over(by) - 1, "__sum": F.sum("size").over(by.rowsBetween(_FIRST, 0))})
+    items = items.withColumn("extra", ((F.col("wanted") > 0) & (F.col("__sum") <= F.col("wanted"))).cast("int")).drop("__sum")
+    off = F.col("wanted") - F.sum(F.col("extra") * F.col("size")).over(own)
+    items = _largest_first(items.withColumn("off", off), F.col("extra") == 0, F.col("off"), scratch)
+    items = items.withColumn("extra", F.greatest("extra", F.col("picked").cast("int"))).drop("picked").withColumn("off", off)
+    open_ = F.max((F.col("can_cut") & (F.col("extra") == 0)).cast("int")).over(own)
+    least = F.min(F.when(F.col("extra") == 0, F.struct("size", "turn"))).over(own)
+    items = items.withColumn("__in", F.when((F.col("off") > 0) & (open_ == 0), least))
+    over = F.col("__in")["size"] - F.col("off")
+    items = _largest_first(items.withColumn("__over", over), F.col("extra") == 1, F.col("__over"), scratch)
+    kept = (F.col("extra") == 1) & ~F.col("picked")
+    swapped = (kept | (F.col("turn") == F.col("__in")["turn"])).cast("int")
+    left = F.col("__over") - F.sum(F.col("picked").cast("bigint") * F.col("size")).over(own)
+    better = (left < F.col("off")) | (F.max((F.col("can_cut") & kept).cast("int")).over(own) == 1)
+    better = F.coalesce(F.col("__in").isNotNull() & better, F.lit(False))
+    items = items.withColumns({"__left": left, "__swapped": swapped, "__better": better})
+    items = items.withColumn("extra", F.when(F.col("__better"), F.col("__swapped")).otherwise(F.col("extra")))
+    items = items.withColumn("off", F.when(F.col("__better"), -F.col("__left")).otherwise(F.col("off")))
+    return items.drop("__in", "__over", "__left", "__swapped", "__better", "picked")
+
+
+def _largest_first(items: DataFrame, free: Column, room: Column, scratch: Scratch) -> DataFrame:
+    """items (source, size, turn, ...) with picked: the free ones that fit into a source's room, largest first, then by turn.
+
+    Items of a size differ in turn alone, so it is decided by size how many of them are picked.
     """
-    order = Window.partitionBy("source").orderBy(_hash("id", seed + 9), "size")
-    block = Window.partitionBy("source")
-    rows = rows.withColumns({"__n": F.row_number().over(order), "__sum": F.sum("size").over(order.rowsBetween(_FIRST, 0))})
-    rows = rows.withColumn("extra", (F.col("__sum") <= F.col("cut")).cast("int"))
-    for turn in range(FILLS + 1):
-        gap = F.col("cut") - F.sum(F.col("extra") * F.col("size")).over(block)
-        rows = rows.withColumn("__gap", gap)
-        off = F.abs(F.col("__gap") - F.col("size"))
-        fits = F.col("size") <= F.col("__gap") if turn < FILLS else off < F.col("__gap")
-        rows = rows.withColumn("__best", F.min(F.when((F.col("extra") == 0) & fits, F.struct(off, "__n"))).over(block)["__n"])
-        rows = rows.withColumn("extra", F.when(F.col("__n") == F.col("__best"), 1).otherwise(F.col("extra")))
-    return rows
+    items = items.withColumn("__room", F.when(free & (F.col("size") > 0) & (F.col("size") <= room), room))
+    of_size = Window.partitionBy("source", "size", F.col("__room").isNull()).orderBy("turn")
+    items = scratch.write(items.withColumn("__nth", F.row_number().over(of_size)))
+    fitting = items.where(F.col("__room").isNotNull())
+    sizes = fitting.groupBy("source", "size").agg(F.max("__room").alias("room"), F.count(F.lit(1)).alias("many"))
+    sizes = sizes.groupBy("source").agg(F.max("room").alias("room"), F.sort_array(F.collect_list(F.struct("size", "many")), False).alias("sizes"))
+
+    def step(state: Column, entry: Column) -> Column:
+        many = F.least(entry["many"], F.floor(state["room"] / entry["size"]))
+        picks = F.when(many > 0, F.concat(state["picks"], F.array(F.struct(entry["size"].alias("size"), many.alias("many"))))).otherwise(state["picks"])
+        return F.struct((state["room"] - many * entry["size"]).alias("room"), picks.alias("picks"))
+
+    none = F.array().cast("array<struct<size:bigint,many:bigint>>")
+    picks = F.aggregate("sizes", F.struct(F.col("room").alias("room"), none.alias("picks")), step)["picks"]
+    picks = sizes.select(F.col("source").alias("__source"), F.explode(picks).alias("__pick"))
+    match = [F.col("source").eqNullSafe(F.col("__source")), F.col("size") == F.col("__pick.size")]
+    picked = F.col("__room").isNotNull() & (F.col("__nth") <= F.col("__pick.many"))
+    items = items.join(picks, match, "left").withColumn("picked", F.coalesce(picked, F.lit(False)))
+    return items.drop("__source", "__pick", "__room", "__nth")
 
 
 def _deal(blocks: DataFrame, shards: int, seed: int) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import struct
 from collections import Counter, defaultdict
 
@@ -117,6 +118,39 @@ def test_mix_meets_targets(spark, sf001):
     assert again == {(r.doc_id, r.taken) for r in rows}
 
 
+def test_short_documents_fill_what_long_ones_leave(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = []
+    # documents of about 400 words, and the long ones' words
+    for n, long in [(250, [30_000]), (250, [60_000]), (250, [30_000, 30_000]), (900, [200_000]), (900, [100_000]), (60, [9_000] * 3)]:
+        for share in (30, 50, 87):
+            for again in range(4):
+                name = f"{n} {long} {again} {share}"
+                rows += [(name, size, rng.getrandbits(62)) for size in [*(rng.randint(300, 500) for _ in range(n)), *long]]
+    percent = F.element_at(F.split("source", " "), -1).cast("int")
+    monkeypatch.setattr(mixing, "targets", lambda sizes: sizes.withColumn("target", F.col("size") * percent / 100))
+    taken, target = Counter(), {}
+    for r in mixing.place(spark.createDataFrame(rows, "source string, size long, id long")).collect():
+        taken[r.source] += r.size * len(r.placements)
+        target[r.source] = r.target
+    assert max(abs(taken[s] / t - 1) for s, t in target.items()) < 0.01
+
+
+def test_largest_first_by_size(spark):
+    rng = random.Random(1)
+    rows = [(s, rng.randint(0, 30), i, 40 * (s or 3)) for s in (None, 1, 2) for i in range(12)]
+    frame = spark.createDataFrame(rows, "source long, size long, turn long, room long")
+    found = mixing._largest_first(frame, F.col("turn") != 3, F.col("room"), mixing.Scratch(spark)).collect()
+    picked = set()
+    for source in (None, 1, 2):
+        left = 40 * (source or 3)
+        for _, turn, size in sorted((-z, t, z) for s, z, t, _ in rows if s == source and t != 3 and z):
+            if size <= left:
+                picked.add((source, turn))
+                left -= size
+    assert {(r.source, r.turn) for r in found if r.picked} == picked
+
+
 def test_shards_of_the_mix_share_its_proportions(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)
     docs = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 7) END AS source", "repeat('w ', 10) AS text", "1 AS mix_order")
