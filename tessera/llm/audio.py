@@ -2,9 +2,10 @@
 
 Frames of a recording become energies of the twelve pitch classes. Filters over
 that image, each the contrast of rectangles read from an integral image, are cut
-into four levels of two bits; sixteen of them make a frame's packed integer. Two
-recordings are aligned by the histogram of offsets at which integers agree, and
-compared by the share of bits that differ there.
+into four levels of two bits; sixteen of them make a frame's packed integer. A
+recording asked for is compared with every other one at every offset by the share
+of bits that differ: at the share allowed, hardly an integer agrees as a whole, so an
+index of integers would miss most of the noisy copies.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.scratch import Scratch
 from tessera.llm.workers import prepare
@@ -28,8 +28,13 @@ SPAN = 16
 LEVELS = np.array([-0.15, 0.0, 0.15])
 #: (kind, first pitch class, classes, frames): contrast of halves in time, in pitch, or of the quarters' diagonals.
 FILTERS = [(kind, low, high, width) for kind in ("time", "pitch", "diagonal") for low, high, width in ((2, 8, 16), (0, 6, 8), (6, 6, 8), (3, 6, 16), (4, 4, 12), (8, 4, 4))][:16]
-#: A match needs so many agreeing integers at one offset, compared without their low bits, and at most such a share of differing bits.
-LEAST_VOTES, DROPPED_BITS, MOST_ERRORS = 2, 4, 0.25
+#: A match has at most such a share of differing bits.
+MOST_ERRORS = 0.25
+#: At that share, it overlaps by so many integers (where none of 1,770 unrelated pairs came below the share),
+#: or so many integers, compared without their low bits, agree: first ones of runs, or any if a whole recording overlaps.
+LEAST_OVERLAP, LEAST_VOTES, DROPPED_BITS = 32, 2, 4
+#: Bytes of fingerprints in a block on either side of the comparison, and integers compared at once.
+OWN_BYTES, REC_BYTES, PIECE, TIMELINE = 1 << 13, 1 << 16, 64, 1 << 15
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -103,7 +108,8 @@ def search(found: DataFrame, queries: DataFrame) -> DataFrame:
 
     queries has a column query. Recordings with equal fingerprints are one, named by
     the smallest id, members of which there are; a query finds its own one, too.
-    Empty fingerprints find nothing.
+    Empty fingerprints find nothing. The offset is the one with most equal bits beyond
+    chance, votes its agreeing integers. The work grows as queries times recordings.
     """
     scratch = Scratch(found.sparkSession)
     found = scratch.write(found.where(F.length("frames") > 0))
@@ -112,43 +118,107 @@ def search(found: DataFrame, queries: DataFrame) -> DataFrame:
     asked = found.join(queries.select(F.col("query").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query"), "frames")
     asked = scratch.write(asked.join(classes.select("frames", F.col("rec").alias("own")), "frames").select("query", "own"))
     wanted = asked.select(F.col("own").alias("rec")).distinct()
-    index = scratch.write(_index(classes.select("rec", "frames")))
-    ours = index.join(wanted, "rec", "left_semi").select(F.col("rec").alias("own"), "value", F.col("place").alias("own_place"))
-    votes = ours.join(index, "value").where("own <> rec").groupBy("own", "rec", (F.col("own_place") - F.col("place")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = Window.partitionBy("own", "rec").orderBy(F.desc("votes"), F.abs("offset"), "offset")
-    aligned = votes.where(F.col("votes") >= LEAST_VOTES).withColumn("turn", F.row_number().over(best)).where("turn = 1").drop("turn")
-    own = wanted.select(F.col("rec").alias("own"), "rec", F.lit(0).cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("votes"))
-    pairs = aligned.select("own", "rec", F.col("offset").cast("bigint"), "votes").union(own)
-    one = classes.select(F.col("rec").alias("own"), F.col("frames").alias("a"))
-    compared = pairs.join(one, "own").join(classes, "rec").select("own", "rec", "members", "offset", "votes", "a", F.col("frames").alias("b"))
+    ours, owns = _blocks(classes.join(wanted, "rec", "left_semi"), OWN_BYTES, "own")
+    theirs, recs = _blocks(classes, REC_BYTES, "rec")
+    pairs = scratch.write(theirs).crossJoin(scratch.write(ours))
+    pairs = pairs.repartition(min(max(owns * recs // 8, 1), 4096), "own_block", "rec_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, a, b = (batch.column(i).to_pylist() for i in (3, 5, 6))
-            errors = [bit_error(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), o) for o, x, y in zip(offsets, a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(errors, pa.float64())], names=[*batch.schema.names[:5], "bit_error"])
-
-    measured = compared.mapInArrow(run, "own long, rec long, members long, offset long, votes long, bit_error double")
-    near = measured.where(F.col("bit_error") <= MOST_ERRORS)
-    return asked.join(near, "own").select("query", F.col("rec").alias("id"), "members", "offset", "votes", "bit_error")
-
-
-def _index(classes: DataFrame) -> DataFrame:
-    """(rec, value, place) of each integer without its low bits; in runs of one value the first place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, values, places = [], [], []
-            for rec, frames in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(frames, "<u4") >> DROPPED_BITS
-                first = np.flatnonzero(np.diff(own.astype(np.int64), prepend=-1))
-                ids.append(np.full(len(first), rec))
-                values.append(own[first].astype(np.int64))
-                places.append(first)
-            columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (ids, values, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rec", "value", "place"])
-
-    return classes.mapInArrow(run, "rec long, value long, place long")
+            for row in range(batch.num_rows):
+                own, rec = ([(x["rec"], np.frombuffer(x["frames"], "<u4")) for x in batch.column(c)[row].as_py()] for c in ("own", "rec"))
+                yield pa.RecordBatch.from_pylist([dict(zip(_MATCH.names, m, strict=True)) for m in matches(own, rec)], _MATCH)
+
+    near = pairs.select("own", "rec").mapInArrow(run, "own long, rec long, offset long, votes long, bit_error double")
+    near = near.join(classes.select("rec", "members"), "rec").select("own", "rec", "members", "offset", "votes", "bit_error")
+    zero = F.lit(0).cast("bigint")
+    same = classes.join(wanted, "rec", "left_semi").select(F.col("rec").alias("own"), "rec", "members", zero, F.lit(None).cast("bigint"), F.lit(0.0))
+    return asked.join(near.union(same), "own").select("query", F.col("rec").alias("id"), "members", "offset", "votes", "bit_error")
+
+
+_MATCH = pa.schema([("own", pa.int64()), ("rec", pa.int64()), ("offset", pa.int64()), ("votes", pa.int64()), ("bit_error", pa.float64())])
+
+
+def _blocks(classes: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """classes as arrays of (rec, frames) of about so many bytes, and how many blocks there are."""
+    count = -(-(classes.agg(F.sum(F.length("frames"))).first()[0] or 1) // size)
+    block = F.pmod(F.xxhash64("rec"), F.lit(count)).alias(f"{name}_block")
+    return classes.groupBy(block).agg(F.collect_list(F.struct("rec", "frames")).alias(name)), count
+
+
+def _signs(frames: np.ndarray) -> np.ndarray:
+    """Integers x 32, 1 for a bit set and -1 for another."""
+    return np.unpackbits(np.ascontiguousarray(frames, "<u4").view(np.uint8).reshape(-1, 4), axis=1).astype(np.float32) * 2 - 1
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Whether a value begins a run of equal ones."""
+    return np.diff(values, prepend=-2) != 0
+
+
+def matches(ours: list[tuple[int, np.ndarray]], theirs: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int, int, float]]:
+    """(own, rec, offset, votes, bit_error) of all pairs of different recordings that match, at the best of all offsets."""
+    gap, parts = 0, []
+    for own, frames in sorted(ours, key=lambda x: len(x[1])):
+        if len(frames) != gap:
+            gap, parts, part = len(frames), [], []
+            for entry in theirs:
+                part.append(entry)
+                if sum(len(f) + gap for _, f in part) >= TIMELINE:
+                    parts.append(_timeline(part, gap))
+                    part = []
+            parts += [_timeline(part, gap)] if part else []
+        for part in parts:
+            yield from _along(own, frames, *part)
+
+
+def _timeline(part: list[tuple[int, np.ndarray]], gap: int) -> tuple[np.ndarray, ...]:
+    """Recordings one after another, a gap before each and at the end: ids, starts, lengths, signs, values without low bits, first ones of runs."""
+    ids, lengths = np.array([i for i, _ in part]), np.array([len(f) for _, f in part])
+    starts = np.cumsum(lengths + gap) - lengths
+    total = int(lengths.sum()) + gap * (len(part) + 1)
+    signs, values, firsts = np.zeros((total, 32), np.float32), np.full(total, -1, np.int64), np.zeros(total, bool)
+    for start, (_, frames) in zip(starts, part, strict=True):
+        at = slice(start, start + len(frames))
+        signs[at], values[at] = _signs(frames), (frames >> DROPPED_BITS).astype(np.int64)
+        firsts[at] = _firsts(values[at])
+    return ids, starts, lengths, signs, values, firsts
+
+
+def _along(own: int, frames: np.ndarray, ids, starts, lengths, signs, values, firsts) -> Iterator[tuple[int, int, int, int, float]]:
+    """Matches of one recording, moved along a timeline whose gaps are as long as it is."""
+    n = len(frames)
+    spots = len(signs) - n
+    equal = np.zeros(spots, np.float32)  # equal bits less differing ones, with the recording put at each spot
+    ours = _signs(frames)
+    for i in range(0, n, PIECE):
+        rows = ours[i : i + PIECE]
+        along = rows @ signs[i : i + spots + len(rows) - 1].T
+        width = along.strides[1]
+        equal += np.lib.stride_tricks.as_strided(along, (len(rows), spots), (along.strides[0] + width, width)).sum(axis=0)
+    which = np.repeat(np.arange(len(ids)), lengths + n)[:spots]
+    at = np.arange(len(which))
+    overlap = np.minimum(starts[which] + lengths[which], at + n) - np.maximum(starts[which], at)
+    near = np.flatnonzero((overlap >= 1) & (16 * overlap - equal[: len(at)] / 2 <= MOST_ERRORS * 32 * overlap) & (ids[which] != own))
+    kept = {}
+    own_values = (frames >> DROPPED_BITS).astype(np.int64)
+    own_firsts = _firsts(own_values)
+    for spot in near.tolist():
+        rec, long = int(which[spot]), int(overlap[spot])
+        score = float(equal[spot])
+        if rec in kept and kept[rec][0] >= score:
+            continue
+        if long < LEAST_VOTES:
+            continue
+        agree = own_values == values[spot : spot + n]
+        votes = int(np.count_nonzero(agree))
+        if long < LEAST_OVERLAP:
+            whole = long == min(n, int(lengths[rec])) and votes >= LEAST_VOTES
+            if not whole and np.count_nonzero(agree & own_firsts & firsts[spot : spot + n]) < LEAST_VOTES:
+                continue
+        kept[rec] = (score, int(starts[rec]) - spot, votes, float((32 * long - score) / (64 * long)))
+    for rec, (_, offset, votes, error) in kept.items():
+        yield own, int(ids[rec]), offset, votes, error
 
 
 def sound(embeddings: DataFrame) -> DataFrame:

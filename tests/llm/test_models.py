@@ -192,6 +192,44 @@ def test_recordings_align(spark):
     assert audio.bit_error(np.zeros(3, np.uint32), np.zeros(3, np.uint32), 3) == 1.0
 
 
+def best_match(a, b):
+    """By the rule's own words, over every offset: (equal bits beyond chance, offset, error), or None."""
+    found = []
+    for offset in range(1 - len(b), len(a)):
+        start, end = max(0, offset), min(len(a), len(b) + offset)
+        x, y = a[start:end] >> 4, b[start - offset : end - offset] >> 4
+        begins = [np.diff(v.astype(np.int64), prepend=-1) != 0 for v in (a >> 4, b >> 4)]
+        agree = x == y
+        runs = agree & begins[0][start:end] & begins[1][start - offset : end - offset]
+        enough = len(x) >= 32 or runs.sum() >= 2 or (len(x) == min(len(a), len(b)) and agree.sum() >= 2)
+        error = audio.bit_error(a, b, offset)
+        if enough and error <= audio.MOST_ERRORS:
+            found.append((round(32 * len(x) * (1 - 2 * error)), offset, error))
+    return max(found, key=lambda f: f[0], default=None)
+
+
+def test_noisy_and_shifted_recordings_are_found(spark):
+    rows, rng = [], np.random.default_rng(2)
+    for i in range(30):
+        song = recording(100 + i, 12)
+        moved = song[3 * audio.HOP :] if i % 2 else song
+        rows += [(2 * i, song), (2 * i + 1, moved + (0.3 + 0.7 * i / 30) * rng.normal(size=len(moved)))]
+    rows += [(100, np.zeros(20_000)), (101, np.zeros(24_000)), (102, song[:9000]), (103, recording(7, 30))]
+    found = audio.fingerprints(spark.createDataFrame([(i, s.tolist()) for i, s in rows], "id long, samples array<double>"))
+    frames = {r.id: np.frombuffer(r.frames, "<u4") for r in found.collect()}
+    asked = [*range(0, 60, 2), 100, 102, 103]
+    hits = {(r.query, r.id): r for r in audio.search(found, spark.createDataFrame([(i,) for i in asked], "query long")).collect()}
+    wanted = {(a, b): m for a in asked for b in frames if a != b and (m := best_match(frames[a], frames[b]))}
+    assert {k for k in hits if k[0] != k[1]} == set(wanted)
+    for key, (score, _, _) in wanted.items():
+        offset = hits[key].offset
+        assert hits[key].bit_error == pytest.approx(audio.bit_error(frames[key[0]], frames[key[1]], offset))
+        start, end = max(0, offset), min(len(frames[key[0]]), len(frames[key[1]]) + offset)
+        assert round(32 * (end - start) * (1 - 2 * hits[key].bit_error)) == score
+    copies = [(i, i + 1) for i in range(0, 60, 2) if audio.bit_error(frames[i], frames[i + 1], 3 * (i // 2 % 2)) <= audio.MOST_ERRORS]
+    assert len(copies) > 20 and sum(c in hits for c in copies) >= 0.9 * len(copies) and (100, 101) in hits
+
+
 # -- pipeline ---------------------------------------------------------------
 
 
