@@ -52,6 +52,8 @@ def _inspect(table: Table) -> str:
 def _explain(stats: ScanStats, seconds: float) -> str:
     if stats.metadata_only:
         how = f"answered from metadata, 0 of {stats.row_groups_total} row groups read"
+    elif stats.row_groups_total is None:
+        how = "footers not read, scan unknown"
     else:
         how = (
             f"row groups: {stats.row_groups_scanned} of {stats.row_groups_total} scanned, "

@@ -27,14 +27,14 @@ class ExecuteOptions:
 
 @dataclass(frozen=True)
 class ScanStats:
-    """What the footers prove about a scan; zeros where a table has no footers to read."""
+    """What the footers prove about a scan; None where a table has no footers to read."""
 
-    row_groups_total: int = 0
-    row_groups_scanned: int = 0
-    row_groups_fully_matched: int = 0
-    rows_scanned: int = 0
+    row_groups_total: int | None = 0
+    row_groups_scanned: int | None = 0
+    row_groups_fully_matched: int | None = 0
+    rows_scanned: int | None = 0
     rows_returned: int = 0
-    bytes_read: int = 0
+    bytes_read: int | None = 0
     metadata_only: bool = False
 
 
@@ -88,7 +88,7 @@ class Engine:
 def scan_stats(bound: Bound, table: Table, options: ExecuteOptions, returned: int, metadata_only: bool) -> ScanStats:
     """Groups that the filter's proofs leave, their rows, and the bytes of the columns read there."""
     if table.footers is None:
-        return ScanStats(rows_returned=returned, metadata_only=metadata_only)
+        return ScanStats(None, None, None, None, returned, None, metadata_only)
     groups = table.footers.groups
     if metadata_only:
         return ScanStats(len(groups), rows_returned=returned, metadata_only=True)

@@ -22,7 +22,7 @@ class Table:
 
     Narrower integers are widened; columns of other types are not part of the
     table. A null in a covered column breaks the model: from_parquet refuses it
-    where the footers tell, and check_nulls() scans for it otherwise.
+    by the footers or, where they are not read, by the scan of check_nulls().
     """
 
     def __init__(self, spark: SparkSession, frame: DataFrame, schema: Schema, path: str | None):
@@ -45,7 +45,9 @@ class Table:
         # a wider read schema widens in the reader itself, and keeps filters pushed down
         wide = T.StructType([T.StructField(f.name, schema[f.name].spark if f.name in schema else f.dataType) for f in frame.schema])
         table = cls(spark, spark.read.schema(wide).parquet(path), schema, path)
-        if table.footers:
+        if table.footers is None:
+            table.check_nulls()
+        else:
             for name in schema:
                 if any(g.nulls.get(name) for g in table.footers.groups):
                     raise SchemaError(f"column {name} of {path} holds nulls")
