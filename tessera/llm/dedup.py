@@ -2,24 +2,25 @@
 
 1. A document becomes its set of distinct word shingles (64-bit hashes), a
    signature of HASHES minima, and BANDS keys of ROWS minima each. Documents with
-   equal sets are one from here on: the smallest id stands for them.
-2. Documents that share a band's key are candidates. A bucket's candidates are not
-   paired with each other but with a leader, the member with the smallest hash.
-3. A pair's signatures are compared in batches. After n hashes with m matches the
+   equal sets are one from here on, a node.
+2. Nodes that share a band's key are a bucket. A bucket belongs to its hub, the
+   member that shares most keys with others. All buckets of a hub make a cell, so
+   that a node's full set travels once per hub and not once per key.
+3. A cell is split into blocks of LIMIT weight, each with the hub. Within a block
+   the signatures are compared in batches. After n hashes with m matches the
    similarity's posterior is Beta(m + 1, n - m + 1); a pair is dropped once its
    chance of reaching the threshold is below MISS. Survivors are verified on the
-   full sets, one best pair per document first, the others only where the
-   documents are not connected by then.
-4. Buckets whose members are still in several components are compared whole, in
-   blocks of BLOCK members, by signature. Each member's closest partners in other
-   components are verified, a few at first and then more, until none is left that
-   the posterior allows; later rounds compare only members with partners left. So
-   every two documents that share a band's key are either connected or compared,
-   and pairs that can't matter leave no row.
+   full sets, closest first, unless they are connected by then. Only confirmed
+   links leave a block, fewer than it has members.
+4. Cells of several blocks are dealt anew where their nodes are not all connected:
+   by whether a node is connected with the hub, and by size class. Blocks meet in
+   pairs if their sizes can be alike and not all of both are connected with the
+   hub. So every two nodes of a bucket are either connected or compared, and pairs
+   that don't link leave no row.
 5. Confirmed links give components by label propagation.
 
 At a similarity of 0.75 two documents share no band's key with probability
-(1 - 0.75**4)**32 = 5e-6. Hot buckets are split by adaptive skew joins and by blocks.
+(1 - 0.75**4)**32 = 5e-6.
 """
 
 from __future__ import annotations
@@ -28,13 +29,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.scratch import Scratch
 from tessera.llm.workers import prepare
@@ -46,10 +45,10 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Hashes compared at once, and the posterior chance at which a pair is given up.
 BATCH, MISS = 16, 1e-6
-#: Members of an unsettled bucket in one block; two blocks at a time meet in a task.
-BLOCK = 1024
-#: How many partners of a member are verified by the end of each round; the last bound has no end.
-ROUNDS = (2, 16, 128, 2**31)
+#: A block's weight at most, but for its last member; a node weighs its set's size and BASE_WEIGHT.
+LIMIT, BASE_WEIGHT = 1_500_000, 1024
+#: Survivors verified at once, first and at most.
+FIRST_TESTS, MOST_TESTS = 8, 1024
 #: Shingles hashed at once; bounds memory for very long texts.
 CHUNK = 4096
 #: Bytes of text taken at once.
@@ -114,28 +113,34 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_key binary, short binary, bands array<long>"
+_SIGNED = "doc_id long, text_key long, n_shingles long, set_key binary, short binary, bands array<long>"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of the text: rows that agree in id and hash are one document."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a hash of the set, the minima's low bytes, and the bands' keys; null for empty sets."""
+    """doc_id, text_key, n_shingles, a hash of the set, the minima's low bytes, and the bands' keys; null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, found in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+            for found in shingle_sets(batch.column(1)):
                 if not len(found):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((0, None, None, None))
                     continue
                 own = signature(found)
                 bands = [xxhash.xxh3_64_intdigest(b.tobytes(), i) for i, b in enumerate(own.reshape(BANDS, ROWS))]
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                rows.append((doc_id, len(found), key, own.astype(np.uint8).tobytes(), np.array(bands, np.uint64).astype(np.int64)))
-            types = pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_shingles", "set_key", "short", "bands"])
+                rows.append((len(found), key, own.astype(np.uint8).tobytes(), np.array(bands, np.uint64).astype(np.int64)))
+            types = pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            made = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], names=["doc_id", "text_key", "n_shingles", "set_key", "short", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _SIGNED)
+    return _keyed(docs).mapInArrow(run, _SIGNED)
 
 
 def least_matches() -> np.ndarray:
@@ -155,53 +160,90 @@ def least_matches() -> np.ndarray:
     return np.array(out)
 
 
-def _sequential(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """pairs (a, b) that the posterior does not rule out, with their matches."""
-    needed = least_matches()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
-            alive, matches = np.arange(len(left)), np.zeros(len(left), int)
-            for step, least in enumerate(needed):
-                at = slice(step * BATCH, (step + 1) * BATCH)
-                matches[alive] += (left[alive, at] == right[alive, at]).sum(axis=1)
-                alive = alive[matches[alive] >= least]
-            kept = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(matches[alive], pa.int64())], names=["a", "b", "matches"])
-
-    one = reps.select(F.col("doc_id").alias("a"), F.col("short").alias("left"))
-    other = reps.select(F.col("doc_id").alias("b"), F.col("short").alias("right"))
-    joined = pairs.join(one, "a").join(other, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(run, "a long, b long, matches long")
-
-
-def _sets(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "shingles"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+def settle(signs: np.ndarray, sizes: np.ndarray, sets: np.ndarray, ends: np.ndarray, labels: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all that can be connected, as pairs of places; labels come to name what is.
 
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) whose full sets reach the threshold. Pairs meet a's set first, so heavy rows move by b."""
+    sets holds the full sets one after another, ends their ends. Pairs with equal labels,
+    and of one side if there are sides, are not compared. The first row goes first.
+    """
+    needed = least_matches()
+    steps = [np.ascontiguousarray(signs[:, i : i + BATCH]) for i in range(0, HASHES, BATCH)]
+    starts = ends - sizes
+    out = []
+    order = np.concatenate([[0], 1 + np.argsort(-sizes[1:], kind="stable")])
+    later = np.ones(len(order), bool)
+    for i in order.tolist():
+        later[i] = False
+        can = later & (labels != labels[i]) & (100 * np.minimum(sizes, sizes[i]) >= THRESHOLD * np.maximum(sizes, sizes[i]))
+        if sides is not None:
+            can &= sides != sides[i]
+        alive = np.flatnonzero(can)
+        matches = np.zeros(len(alive), np.int64)
+        for step, least in zip(steps, needed.tolist(), strict=True):
+            if not len(alive):
+                break
+            matches += (step[alive] == step[i]).sum(axis=1)
+            keep = matches >= least
+            alive, matches = alive[keep], matches[keep]
+        alive = alive[np.argsort(-matches, kind="stable")]
+        own, count = sets[starts[i] : ends[i]], FIRST_TESTS
+        while len(alive):
+            tested, alive = alive[:count], alive[count:]
+            flat = np.concatenate([sets[starts[j] : ends[j]] for j in tested.tolist()])
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            both = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(sizes[tested]) - sizes[tested])
+            for j in tested[100 * both >= THRESHOLD * (sizes[i] + sizes[tested] - both)].tolist():
+                if labels[j] != labels[i]:
+                    labels[labels == labels[j]] = labels[i]
+                    out.append((i, j))
+            alive = alive[labels[alive] != labels[i]]
+            count = min(4 * count, MOST_TESTS)
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each key, the first so many columns, from batches in which equal keys are neighbours."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1).tolist(), len(columns)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(columns[a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _linked(dealt: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
+    """The links a, b found within each group of dealt, which has the keys, node, label, side (0 for the hub) and n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                place = np.searchsorted(x, y)
-                both = int((x[np.minimum(place, len(x) - 1)] == y).sum())
-                keep.append(100 * both >= THRESHOLD * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+        for group in _runs(batches, len(keys)):
+            node, label, side, short, shingles = (group.column(c).combine_chunks() for c in ("node", "label", "side", "short", "shingles"))
+            node, label, side = (c.to_numpy(zero_copy_only=False) for c in (node, label, side))
+            order = np.lexsort((node, side))
+            order = order[np.concatenate([[True], np.diff(node[order]) != 0])]  # a repeated row counts once
+            signs = np.frombuffer(b"".join(short.take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, HASHES)
+            own = shingles.take(pa.array(order))
+            sizes = pc.binary_length(own).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            flat = np.frombuffer(b"".join(own.to_pylist()), np.uint64)
+            apart = side[order] if (side > 1).any() else None
+            found = settle(signs, sizes, flat, np.cumsum(sizes), label[order].copy(), apart)
+            ids = node[order]
+            a, b = (pa.array([int(ids[pair[i]]) for pair in found], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    joined = dealt.join(sets.hint("merge"), "node").select(*keys, "node", "label", "side", "short", "shingles")
+    # few bytes, much work: partitions that are small must not be merged
+    count = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.repartition(count, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -225,168 +267,158 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def _alike_sizes(a: Column, b: Column) -> Column:
-    """Whether sets of these sizes can reach the threshold at all."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
-
-
-class _Search:
-    """The state of one search for links between representatives."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch):
-        self.docs, self.reps, self.scratch = docs, reps, scratch
-        self.links: DataFrame | None = None
-        self.labels: DataFrame | None = None
-
-    def connect(self, pairs: DataFrame) -> None:
-        """Test pairs (a < b), and join the components of those that hold."""
-        survivors = self.scratch.write(_sequential(pairs, self.reps))
-        best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")
-        ranked = survivors.withColumn("turn", F.row_number().over(best))
-        sets = self._sets_of(survivors)
-        self._add(_verified(ranked.where("turn = 1"), sets))
-        self._add(_verified(self._apart(ranked.where("turn > 1")), sets))
-        self.scratch.drop(survivors, sets)
-
-    def settle(self, members: DataFrame) -> None:
-        """Compare unsettled buckets whole, in rounds; places among partners are those of the first round."""
-        before, waiting = 0, None
-        for until in ROUNDS:
-            found = self.scratch.write(_across(self._still(members), self.reps, waiting, before, until))
-            pairs = self.scratch.write(self._apart(found.where("NOT more").select("a", "b").distinct()))
-            if not pairs.isEmpty():
-                self._add(_verified(pairs, self._sets_of(pairs)))
-            # pairs of this round may all be connected by now while later places hold others
-            waiting = found.where("more").select("key", "low", "high", F.col("a").alias("id"))
-            if waiting.isEmpty():
-                return
-            before = until
-
-    def _sets_of(self, pairs: DataFrame) -> DataFrame:
-        """The full sets of all documents in pairs; ids are taken to name one text."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return self.scratch.write(_sets(self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-
-    def _add(self, found: DataFrame) -> None:
-        found = self.scratch.write(found)
-        self.links = found if self.links is None else self.scratch.write(self.links.union(found))
-        self.labels = components(self.links, self.scratch)
-
-    def _labelled(self, frame: DataFrame, key: str, name: str) -> DataFrame:
-        labels = self.labels.select(F.col("node").alias(key), F.col("component").alias(name))
-        return frame.join(labels, key, "left").withColumn(name, F.coalesce(name, key))
-
-    def _apart(self, pairs: DataFrame) -> DataFrame:
-        found = self._labelled(self._labelled(pairs, "a", "ca"), "b", "cb")
-        return found.where("ca <> cb").drop("ca", "cb")
-
-    def _still(self, members: DataFrame) -> DataFrame:
-        """members of buckets that hold several components by now, with the components they came with."""
-        return members.join(self.unsettled(members.drop("component")).select("key").distinct(), "key", "left_semi")
-
-    def unsettled(self, members: DataFrame) -> DataFrame:
-        """members (key, id, n) of buckets that hold several components, with the component."""
-        known = self._labelled(members, "id", "component")
-        split = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        return known.join(split.select("key"), "key", "left_semi")
-
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, short and shingles, the full set, of wanted (doc_id, text_key, node, short)."""
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text).
-
-    Texts whose 5-word shingle sets have a Jaccard similarity of 0.75 or more are
-    linked; component_id is the smallest doc_id reachable, and the document with
-    that id is kept. Empty texts are linked with nothing. A row with a null doc_id
-    takes no part: its component is null and it is kept. Rows that repeat an id
-    and a text share a component; ids are taken to name one text.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            fresh = np.diff(node, prepend=-1 if last is None else last) != 0  # repeated rows stand together
+            last = node[-1] if len(node) else last
+            batch = batch.filter(pa.array(fresh))
+            found = pa.array([s.tobytes() for s in shingle_sets(batch.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["node", "short", "shingles"])
+
+    # merged at every size: the texts move once, whatever the number of nodes
+    joined = _keyed(docs).hint("merge").join(wanted, ["doc_id", "text_key"])
+    return joined.select("node", "short", "text").mapInArrow(run, "node long, short binary, shingles binary")
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """Distinct (hub, node) of members (key, node, others)."""
+    score = members.groupBy("node").agg(F.sum("others").alias("score"))
+    hubs = members.join(score, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("hub"))
+    return members.join(hubs.select("key", F.col("hub.node").alias("hub")), "key").select("hub", "node").distinct()
+
+
+def _blocks_needed() -> Column:
+    """How many blocks a group's nodes fill, from their sets' sizes n."""
+    return F.ceil(F.sum(F.col("n") + BASE_WEIGHT) / LIMIT).cast("int")
+
+
+def _blocks(cells: DataFrame, scratch: Scratch, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links found within blocks of cells (hub, node, n), and the cells of several blocks."""
+    total = cells.groupBy("hub").agg(_blocks_needed().alias("blocks"))
+    cells = scratch.write(cells.join(total, "hub"))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    block = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+    side = F.when(F.col("node") == F.col("hub"), 0).otherwise(1).alias("side")
+    dealt = cells.select("hub", F.explode(block).alias("block"), "node", F.col("node").alias("label"), side)
+    return scratch.write(_linked(dealt, sets, ["hub", "block"])), cells.where("blocks > 1").drop("blocks")
+
+
+def _across(cells: DataFrame, labels: DataFrame, scratch: Scratch, sets: DataFrame) -> DataFrame:
+    """The links between the nodes of cells (hub, node, n) that have different labels so far."""
+    named = _labelled(_labelled(cells, labels, "node", "label"), labels, "hub", "main")
+    class_ = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / THRESHOLD))).cast("int").alias("class")
+    named = named.select("hub", "node", "label", "n", (F.col("label") == F.col("main")).alias("main"), class_)
+    part = ["hub", "main", "class"]
+    total = named.groupBy(*part).agg(_blocks_needed().alias("parts"))
+    total = scratch.write(total.join(total.where("NOT main").select("hub").distinct(), "hub", "left_semi"))
+    named = scratch.write(named.join(total, part).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    blocks = total.select(*part, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    one, other = (blocks.select("hub", F.struct("main", "class", "part").alias(name)) for name in ("low", "high"))
+    # blocks that can hold a link: their sizes are alike, and one of them is not all connected with the hub
+    met = one.join(other, "hub").where("low <= high AND high.class - low.class BETWEEN -1 AND 1 AND NOT (low.main AND high.main)")
+    met = met.select("hub", "low", "high", F.xxhash64("low", "high").alias("pair"))
+    own = F.struct("main", "class", "part")
+    sides = met.select("hub", "pair", F.explode(F.array_distinct(F.array("low", "high"))).alias("own"), "low", "high")
+    side = F.when(F.col("low") == F.col("high"), 1).when(F.col("own") == F.col("low"), 2).otherwise(3)
+    sides = sides.select("hub", "pair", "own", side.alias("side"))
+    dealt = named.withColumn("own", own).join(sides, ["hub", "own"]).select("hub", "pair", "node", "label", "side")
+    return scratch.write(_linked(dealt, sets, ["hub", "pair"]))
+
+
+def _labelled(frame: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
+    """frame with column name: the component of the node in column key, which is alone if it has no label."""
+    labels = labels.select(F.col("node").alias(key), F.col("component").alias(name))
+    return frame.join(labels, key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """A row per row of docs: doc_id, text_key, n_shingles, component_id, and first.
+
+    first is whether the row's id and text are those that stand for its component: the
+    smallest id, of several texts of that id the one with the smallest hash. Rows with
+    empty sets or null ids stand for themselves.
     """
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = scratch.write(sign(docs))
     full = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "short", "bands")))
-    reps = scratch.write(reps)
-    banded = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = scratch.write(banded.join(shared.select("key"), "key"))
-    first = members.groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("lead"))
-    search = _Search(docs, reps, scratch)
-    search.connect(_pairs(members.join(first.select("key", "lead.id", "lead.n").toDF("key", "lead", "lead_n"), "key")))
-    search.settle(scratch.write(search.unsettled(members)))
-    keys = reps.select("set_key", F.col("doc_id").alias("rep"))
-    found = signed.join(keys, "set_key", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    found = search._labelled(found, "rep", "component_id")
-    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    return found.select("doc_id", "n_shingles", component, kept)
-
-
-_CELL = ["key", "low", "high"]
+    rows = F.min(F.struct("doc_id", "text_key")).alias("row")
+    nodes = full.groupBy("set_key").agg(rows, *(F.first(c).alias(c) for c in ("n_shingles", "short", "bands")))
+    # written once, so that the numbers hold
+    nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "set_key", "row", F.col("n_shingles").alias("n"), "short", "bands"))
+    banded = nodes.select("node", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0")
+    # merged at every size, as both sides grow with the input
+    members = scratch.write(banded.hint("merge").join(shared, "key"))
+    cells = scratch.write(_cells(members))
+    wanted = nodes.join(cells.select("node").distinct(), "node", "left_semi").select("row.*", "node", "short")
+    sets = scratch.write(_sets(docs, wanted))
+    links, hot = _blocks(cells.join(nodes.select("node", "n"), "node"), scratch, sets)
+    labels = components(links, scratch)
+    if not hot.isEmpty():
+        links = links.union(_across(hot, labels, scratch, sets))
+        labels = components(links, scratch)
+    scratch.drop(members, cells, sets)
+    known = _labelled(nodes.select("node", "set_key", "row"), labels, "node", "component")
+    firsts = known.groupBy("component").agg(F.min("row").alias("least"))
+    known = known.join(firsts, "component").select("set_key", "least")
+    found = signed.select("doc_id", "text_key", "n_shingles", "set_key").join(known, "set_key", "left")
+    alone = F.col("least").isNull() | F.col("doc_id").isNull()
+    first = alone | (F.struct("doc_id", "text_key") == F.col("least"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id"))
+    return found.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), first.alias("first"))
 
 
-def _across(members: DataFrame, reps: DataFrame, waiting: DataFrame | None, before: int, until: int) -> DataFrame:
-    """Pairs a < b of members of a bucket that are in different components and may be alike.
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text).
 
-    Of each member's partners, closest signatures first, those from place before to
-    until. A row with more set names a member, a, that has partners beyond until in
-    its cell (key, low, high); the next round takes these rows as waiting, and
-    compares no other member's partners again.
+    Texts whose 5-word shingle sets have a Jaccard similarity of 0.75 or more are
+    linked; component_id is the smallest doc_id reachable, and kept whether it is the
+    row's own. Empty texts are linked with nothing. A row with a null doc_id takes no
+    part: its component is null and it is kept. Rows that repeat an id and a text
+    share a component; different texts of one id are linked by their texts alone. An
+    empty table gives an empty result, columns other than these two are not read.
     """
-    counted = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = members.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    spread = members.withColumn("other", other).select("key", "id", "n", "component", "block", low.alias("low"), high.alias("high"))
-    if waiting is None:
-        spread = spread.withColumn("turn", F.lit(True))
-    else:
-        turns = waiting.withColumn("turn", F.lit(True))
-        spread = spread.join(waiting.select(*_CELL).distinct(), _CELL, "left_semi").join(turns, [*_CELL, "id"], "left")
-        spread = spread.fillna(False, ["turn"])
-    spread = spread.join(reps.select(F.col("doc_id").alias("id"), "short"), "id")
-    least = int(least_matches()[-1])
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        signs = np.frombuffer(b"".join(rows["short"]), np.uint8).reshape(-1, HASHES)
-        ids, sizes, parts, blocks = (rows[c].to_numpy() for c in ("id", "n", "component", "block"))
-        crossing = key[1] != key[2]
-        pairs, more = set(), []
-        for i in np.flatnonzero(rows["turn"].to_numpy(bool)).tolist():
-            can = (parts != parts[i]) & (100 * np.minimum(sizes, sizes[i]) >= THRESHOLD * np.maximum(sizes, sizes[i]))
-            if crossing:
-                can &= blocks != blocks[i]
-            at = np.flatnonzero(can)
-            matches = (signs[at] == signs[i]).sum(axis=1)
-            at, matches = at[matches >= least], matches[matches >= least]
-            chosen = at[np.lexsort((ids[at], -matches))[before:until]]
-            pairs.update((min(ids[i], x), max(ids[i], x), False) for x in ids[chosen].tolist())
-            if len(at) > until:
-                more.append((ids[i], ids[i], True))
-        found = pd.DataFrame([*sorted(pairs), *more], columns=["a", "b", "more"]).astype({"a": "int64", "b": "int64", "more": bool})
-        return found.assign(**dict(zip(_CELL, key, strict=True)))[[*_CELL, "a", "b", "more"]]
-
-    # few bytes, much work: partitions that are small must not be merged
-    dealt = spread.repartition(int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_CELL)
-    return dealt.groupBy(*_CELL).applyInPandas(run, "key long, low int, high int, a long, b long, more boolean")
-
-
-def _pairs(led: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of members and their leaders that can be alike by size."""
-    led = led.where((F.col("id") != F.col("lead")) & _alike_sizes(F.col("n"), F.col("lead_n")))
-    return led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the near duplicates: one document of each group stays, of rows with its id one.
+    """docs without the near duplicates, with all their columns: one document of each group stays.
 
-    Rows with a null doc_id all stay.
+    It is the one with the smallest doc_id, of several texts with that id one by a fixed
+    order, and of rows that repeat id and text one by a hash of all columns. Rows with a
+    null doc_id and rows with empty texts all stay.
     """
-    found = groups(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    scratch = Scratch(docs.sparkSession)
+    found = _grouped(docs).where("doc_id IS NOT NULL AND first")
+    counted = found.groupBy("doc_id", "text_key").agg((F.count(F.lit(1)) > 1).alias("repeated"), F.max("n_shingles").alias("n"))
+    key, id_, again = (_fresh(docs, name) for name in ("text_key", "id", "repeated"))
+    again_ = (F.col("repeated") & (F.col("n") > 0)).alias(again)
+    counted = scratch.write(counted.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), again_))
+    named = docs.where("doc_id IS NOT NULL").withColumns({id_: F.col("doc_id").cast("bigint"), key: F.xxhash64("text")})
+    named = named.hint("merge").join(counted, [id_, key])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stay = named.where(f"NOT `{again}`").select(*columns).union(docs.where("doc_id IS NULL"))
+    if counted.where(f"`{again}`").isEmpty():
+        return stay
+    row = F.struct(*columns)
+    one = named.where(f"`{again}`").groupBy(id_, key).agg(F.min_by(row, F.xxhash64(row.cast("string"))).alias(again))
+    return stay.union(one.select(f"`{again}`.*"))
+
+
+def _fresh(frame: DataFrame, name: str) -> str:
+    """A column name that frame doesn't have."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def op1_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,17 +11,18 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Rows that Spark hands to a worker at once: texts may be long.
-BATCH_ROWS = 1000
+#: Rows and bytes that Spark hands to a worker at once: texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 _PACKAGE = Path(__file__).resolve().parents[1]
 _sent: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
     """Send the package to the workers, once per application, and bound the session's Arrow batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    rows, size = (f"spark.sql.execution.arrow.{name}PerBatch" for name in ("maxRecords", "maxBytes"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId not in _sent:
         # the driver serves the file to executors that start later, too

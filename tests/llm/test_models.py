@@ -46,7 +46,7 @@ def edited(rng, words, edits):
 
 
 def test_groups_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "BLOCK", 16)
+    monkeypatch.setattr(dedup, "LIMIT", 20 * dedup.BASE_WEIGHT)
     rng = random.Random(5)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
     # a hot group of copies that are near each other or not quite, exact copies, and a shared passage
