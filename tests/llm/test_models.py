@@ -193,41 +193,57 @@ def test_recordings_align(spark):
 
 
 def best_match(a, b):
-    """By the rule's own words, over every offset: (equal bits beyond chance, offset, error), or None."""
-    found = []
+    """Over every offset: the equal bits beyond chance where enough of two recordings overlaps with few errors, or None."""
+    best = None
     for offset in range(1 - len(b), len(a)):
         start, end = max(0, offset), min(len(a), len(b) + offset)
-        x, y = a[start:end] >> 4, b[start - offset : end - offset] >> 4
-        begins = [np.diff(v.astype(np.int64), prepend=-1) != 0 for v in (a >> 4, b >> 4)]
-        agree = x == y
-        runs = agree & begins[0][start:end] & begins[1][start - offset : end - offset]
-        enough = len(x) >= 32 or runs.sum() >= 2 or (len(x) == min(len(a), len(b)) and agree.sum() >= 2)
         error = audio.bit_error(a, b, offset)
-        if enough and error <= audio.MOST_ERRORS:
-            found.append((round(32 * len(x) * (1 - 2 * error)), offset, error))
-    return max(found, key=lambda f: f[0], default=None)
+        if end - start >= audio.LEAST_OVERLAP and error <= audio.MOST_ERRORS:
+            best = max(best or 0, round(32 * (end - start) * (1 - 2 * error)))
+    return best
 
 
-def test_noisy_and_shifted_recordings_are_found(spark):
+def test_noisy_shifted_and_cut_recordings_are_found(spark):
     rows, rng = [], np.random.default_rng(2)
-    for i in range(30):
+    for i in range(60):
         song = recording(100 + i, 12)
-        moved = song[3 * audio.HOP :] if i % 2 else song
-        rows += [(2 * i, song), (2 * i + 1, moved + (0.3 + 0.7 * i / 30) * rng.normal(size=len(moved)))]
-    rows += [(100, np.zeros(20_000)), (101, np.zeros(24_000)), (102, song[:9000]), (103, recording(7, 30))]
+        moved = (song, song[3 * audio.HOP :], song[: len(song) * 2 // 3], song[200:])[i % 4]
+        rows += [(2 * i, song), (2 * i + 1, moved + 0.8 * i / 60 * rng.normal(size=len(moved)))]
+    rows += [(200, np.zeros(30_000)), (201, np.zeros(34_000)), (202, song[:9000]), (203, recording(7, 30))]
     found = audio.fingerprints(spark.createDataFrame([(i, s.tolist()) for i, s in rows], "id long, samples array<double>"))
     frames = {r.id: np.frombuffer(r.frames, "<u4") for r in found.collect()}
-    asked = [*range(0, 60, 2), 100, 102, 103]
+    asked = [*range(0, 120, 2), 200, 202, 203]
     hits = {(r.query, r.id): r for r in audio.search(found, spark.createDataFrame([(i,) for i in asked], "query long")).collect()}
-    wanted = {(a, b): m for a in asked for b in frames if a != b and (m := best_match(frames[a], frames[b]))}
-    assert {k for k in hits if k[0] != k[1]} == set(wanted)
-    for key, (score, _, _) in wanted.items():
-        offset = hits[key].offset
-        assert hits[key].bit_error == pytest.approx(audio.bit_error(frames[key[0]], frames[key[1]], offset))
-        start, end = max(0, offset), min(len(frames[key[0]]), len(frames[key[1]]) + offset)
-        assert round(32 * (end - start) * (1 - 2 * hits[key].bit_error)) == score
-    copies = [(i, i + 1) for i in range(0, 60, 2) if audio.bit_error(frames[i], frames[i + 1], 3 * (i // 2 % 2)) <= audio.MOST_ERRORS]
-    assert len(copies) > 20 and sum(c in hits for c in copies) >= 0.9 * len(copies) and (100, 101) in hits
+    wanted = {(a, b): m for a in asked for b in frames if (m := best_match(frames[a], frames[b]))}
+    assert set(hits) <= set(wanted) and (200, 201) in hits and (200, 200) in hits and (202, 202) not in hits
+    pairs = {k for k in wanted if k[0] != k[1]}
+    assert len(pairs) > 40 and len(pairs & set(hits)) >= 0.97 * len(pairs)
+    best = 0
+    for (a, b), hit in hits.items():
+        start, end = max(0, hit.offset), min(len(frames[a]), len(frames[b]) + hit.offset)
+        assert hit.bit_error == pytest.approx(audio.bit_error(frames[a], frames[b], hit.offset)) and hit.votes > 0
+        best += round(32 * (end - start) * (1 - 2 * hit.bit_error)) == wanted[a, b]
+    assert best >= 0.97 * len(hits)
+
+
+def test_recordings_of_odd_rows(spark):
+    song = recording(3, 12).tolist()
+    rows = [(1, song, "x"), (1, song, "y"), (1, recording(4, 12).tolist(), "z"), (None, song, ""), (2, [None, *song], ""), (3, [], ""), (4, None, "")]
+    found = audio.fingerprints(spark.createDataFrame(rows, "id long, samples array<double>, frames string"))
+    assert found.columns == ["id", "frames"] and found.count() == 7
+    hits = audio.search(found, spark.createDataFrame([(1,), (1,), (3,), (None,), (77,)], "query long")).collect()
+    # two recordings go by the id 1; row 2 is row 1 a sample later
+    assert Counter((r.query, r.id, r.members) for r in hits if r.id == 1) == {(1, 1, 2): 1, (1, 1, 1): 1}
+    assert {(r.query, r.id) for r in hits} == {(1, 1), (1, 2)}
+
+
+def test_the_query_plays_all_vectors(spark, sf001):
+    vectors = spark.read.parquet(f"{sf001}/embeddings.parquet").select("vec_id", "embedding").collect()
+    frames = {r.vec_id: audio.fingerprint(audio.notes(np.array(r.embedding))) for r in vectors}
+    wanted = {(a, b) for a in frames if a % 100 == 0 for b in frames if best_match(frames[a], frames[b])}
+    hits = {(r.query, r.id): r for r in audio.op9_chroma(spark, sf001).collect()}
+    assert set(hits) <= wanted and len(hits) >= 0.9 * len(wanted)
+    assert all(hits[a, a].bit_error == 0 and hits[a, a].offset == 0 and hits[a, a].votes >= 100 for a in frames if a % 100 == 0)
 
 
 # -- pipeline ---------------------------------------------------------------
