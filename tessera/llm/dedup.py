@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch
-from tessera.llm.workers import prepare
+from tessera.llm.workers import fresh, prepare
 
 SHINGLE = 5
 #: Similarity that links, in hundredths.
@@ -399,7 +399,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = _grouped(docs).where("doc_id IS NOT NULL AND first")
     counted = found.groupBy("doc_id", "text_key").agg((F.count(F.lit(1)) > 1).alias("repeated"), F.max("n_shingles").alias("n"))
-    key, id_, again = (_fresh(docs, name) for name in ("text_key", "id", "repeated"))
+    key, id_, again = (fresh(docs, name) for name in ("text_key", "id", "repeated"))
     again_ = (F.col("repeated") & (F.col("n") > 0)).alias(again)
     counted = scratch.write(counted.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), again_))
     named = docs.where("doc_id IS NOT NULL").withColumns({id_: F.col("doc_id").cast("bigint"), key: F.xxhash64("text")})
@@ -413,13 +413,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     return stay.union(one.select(f"`{again}`.*"))
 
 
-def _fresh(frame: DataFrame, name: str) -> str:
-    """A column name that frame doesn't have."""
-    taken = {c.lower() for c in frame.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def op1_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -17,10 +17,12 @@ def held_out(doc_id: Column) -> Column:
 def training(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
     """doc_id, text and label (0 or 1) of at most MAX_TRAIN labelled rows that are not held out.
 
-    Null labels and ids are left out, of repeated ones the largest label counts.
+    Null labels and ids are left out. Of an id's labels the largest counts, of its
+    texts the first by code units, so that an id is one row however often it repeats.
     Whatever the labels' number, this many rows at most are broadcast.
     """
     known = labels.select("doc_id", F.col(target).alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

@@ -4,8 +4,10 @@ Documents above a third of the capacity share a sequence with one other such at
 most: each, largest first, is matched with the largest that still fits. Smaller
 documents, largest first, then go to the tightest gap, or open a sequence.
 
-Pieces are packed in buckets of about BUCKET_PIECES by hash, each in one task:
-a bucket wastes less than one sequence more than packing all at once would.
+Only lengths matter, so the packing is planned on the histogram of all lengths,
+which has as many entries as the capacity at most, whatever the number of rows:
+equal lengths are matched and placed many at a time. Each row then finds its
+place by its rank among the rows of its length.
 """
 
 from __future__ import annotations
@@ -14,69 +16,116 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.llm.scratch import Scratch
 from tessera.llm.tokens import SpaceTokenizer, tokenizer
-from tessera.llm.workers import prepare
+from tessera.llm.workers import fresh, prepare
 
 CAPACITY = 2048
 END_ID = 0
-BUCKET_PIECES = 8192
+#: Rows of one length that are ranked in one task, about.
+RANKED = 1 << 16
+
+
+class Plan:
+    """Where the items of each length go, by their ranks.
+
+    A step (length, first rank, end, each, first sequence, offset) puts the items of
+    these ranks into successive sequences, each of them side by side.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.steps: list[tuple[int, int, int, int, int, int]] = []
+        self.sequences = 0
+        self._left = {n: c for n, c in counts.items() if c}
+        self._rank = dict.fromkeys(self._left, 0)
+        self._capacity = capacity
+        #: gap to runs (first sequence, how many) that have it, and the gaps as bits
+        self._gaps: dict[int, list[tuple[int, int]]] = {}
+        self._open = 0
+        self._match_large()
+        for length in sorted(self._left, reverse=True):
+            self._fit(length)
+
+    def _put(self, length: int, items: int, each: int, first: int, gap: int) -> None:
+        at = self._rank[length]
+        self.steps.append((length, at, at + items, each, first, self._capacity - gap))
+        self._rank[length] += items
+        self._left[length] -= items
+        if not self._left[length]:
+            del self._left[length]
+
+    def _leave(self, gap: int, first: int, count: int) -> None:
+        if gap and count:
+            self._gaps.setdefault(gap, []).append((first, count))
+            self._open |= 1 << gap
+
+    def _match_large(self) -> None:
+        capacity = self._capacity
+        waiting = sum(1 << n for n in self._left if 3 * n > capacity)
+        while waiting:
+            one = waiting.bit_length() - 1
+            # the largest that fits beside it; itself only if there are two
+            others = waiting if self._left[one] > 1 else waiting & ~(1 << one)
+            other = (others & ((1 << (capacity - one + 1)) - 1)).bit_length() - 1
+            if other == one:
+                count = self._left[one] // 2
+                self._put(one, 2 * count, 2, self.sequences, capacity)
+            else:
+                count = min(self._left[one], self._left[other]) if other > 0 else self._left[one]
+                self._put(one, count, 1, self.sequences, capacity)
+                if other > 0:
+                    self._put(other, count, 1, self.sequences, capacity - one)
+            self._leave(capacity - one - max(other, 0), self.sequences, count)
+            self.sequences += count
+            for n in (one, max(other, 0)):
+                if n not in self._left:
+                    waiting &= ~(1 << n)
+
+    def _fit(self, length: int) -> None:
+        while length in self._left:
+            fitting = self._open >> length
+            left = self._left[length]
+            if not fitting:
+                needed = -(-left // (self._capacity // length))
+                self._leave(self._capacity, self.sequences, needed)
+                self.sequences += needed
+                continue
+            gap = length + (fitting & -fitting).bit_length() - 1
+            first, count = self._gaps[gap].pop()
+            if not self._gaps[gap]:
+                self._open &= ~(1 << gap)
+            # a sequence is the tightest for the next item of this length, too, until it is full
+            each = min(gap // length, left)
+            used = min(count, left // each)
+            self._put(length, used * each, each, first, gap)
+            self._leave(gap, first + used, count - used)
+            self._leave(gap - each * length, first, used)
+
+    def places(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of items."""
+        steps = np.array(sorted(self.steps), np.int64).reshape(-1, 6)
+        width = int(steps[:, 2].max(initial=0)) + 1
+        # a step is found by length and rank as one number; Python's integers where that is too large for 64 bits
+        kind = np.int64 if width * (self._capacity + 1) < 2**63 else object
+        at = np.searchsorted(steps[:, 0].astype(kind) * width + steps[:, 1], lengths.astype(kind) * width + ranks, side="right") - 1
+        _, start, _, each, first, offset = steps[at].T
+        within = ranks - start
+        return first + within // each, offset + within % each * lengths
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each item; lengths are 1 to capacity."""
-    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    items: dict[int, list[int]] = {}
-    for i, length in enumerate(lengths.tolist()):
-        items.setdefault(length, []).append(i)
-    gaps: dict[int, list[int]] = {}
-    count = 0
-    # bit n of large is set while an item of length n waits, of open_ while there is a gap of n
-    large = sum(1 << n for n in items if 3 * n > capacity)
-    open_ = 0
-
-    def leave(gap: int, where: int) -> None:
-        nonlocal open_
-        if gap:
-            gaps.setdefault(gap, []).append(where)
-            open_ |= 1 << gap
-
-    def take(length: int) -> int:
-        nonlocal large
-        item = items[length].pop()
-        if not items[length]:
-            large &= ~(1 << length)
-        return item
-
-    while large:
-        first = large.bit_length() - 1
-        sequence[take(first)] = count
-        fitting = large & ((1 << (capacity - first + 1)) - 1)
-        second = fitting.bit_length() - 1 if fitting else 0
-        if second:
-            item = take(second)
-            sequence[item], offset[item] = count, first
-        leave(capacity - first - second, count)
-        count += 1
-    for length in sorted((n for n in items if 3 * n <= capacity), reverse=True):
-        for item in items[length]:
-            fitting = open_ >> length
-            if fitting:
-                gap = length + (fitting & -fitting).bit_length() - 1
-                where = gaps[gap].pop()
-                if not gaps[gap]:
-                    open_ &= ~(1 << gap)
-            else:
-                gap, where, count = capacity, count, count + 1
-            sequence[item], offset[item] = where, capacity - gap
-            leave(gap - length, where)
-    return sequence, offset
+    order = np.argsort(lengths, kind="stable")
+    found, starts, counts = np.unique(lengths[order], return_index=True, return_counts=True)
+    ranks = np.empty(len(lengths), np.int64)
+    ranks[order] = np.arange(len(lengths)) - np.repeat(starts, counts)
+    return Plan(dict(zip(found.tolist(), counts.tolist(), strict=True)), capacity).places(lengths, ranks)
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -124,35 +173,49 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep_ids:
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """found, which has doc_id, piece and length of 1 to capacity, with sequence_id and offset.
+    """found, which has a column length of 1 to capacity, with sequence_id and offset.
 
-    Sequence ids are distinct numbers with gaps. An empty table gives an empty result.
+    Sequence ids are 0 and up without gaps. All columns are kept as they are, but for
+    two of these names, which are replaced. Repeated rows are packed as often. An empty
+    table gives an empty result.
     """
     prepare(found.sparkSession)
-    buckets = max(1, -(-found.count() // BUCKET_PIECES))
-    keys = [c for c in ("doc_id", "piece", "ids_crc32") if c in found.columns]
-    bucket = F.pmod(F.shiftright(F.xxhash64(*keys), 16), F.lit(buckets)).alias("bucket")
+    found = found.drop("sequence_id", "offset")
+    row, part, base, rank = (fresh(found, name) for name in ("row", "part", "base", "rank"))
+    names = found.columns
+    # written once, so that row numbers hold
+    found = Scratch(found.sparkSession).write(found.withColumn(row, F.monotonically_increasing_id()))
+    counts = {r[0]: r[1] for r in found.groupBy(F.col("length").cast("bigint")).count().collect()}
+    plan = Plan(counts, capacity)
+    # a length's rows are ranked in parts; a part's ranks begin after those of the parts before
+    parts = F.lit([-(-counts.get(n, 0) // RANKED) or 1 for n in range(capacity + 1)])
+    count = F.get(parts, F.col("length").cast("int"))
+    dealt = found.withColumn(part, F.pmod(F.xxhash64(row), count))
+    sizes = dealt.groupBy("length", part).agg(F.count(F.lit(1)).alias(base))
+    before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("length", part).orderBy(row)) - 1
+    ranked = dealt.withColumn(rank, within).join(bases, ["length", part]).withColumn(rank, (F.col(rank) + F.col(base)).cast("bigint"))
     added = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    schema = T.StructType([*found.schema.fields, *added])
+    schema = T.StructType([*found.select(*(F.col(f"`{c}`") for c in names)).schema.fields, *added])
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="bucket").sort_values(keys, ignore_index=True, kind="stable")
-        sequence, offset = pack_lengths(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=sequence + (int(key[0]) << 32), offset=offset)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, ranks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", rank))
+            placed = [pa.array(x) for x in plan.places(lengths, ranks)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *placed], names=[*names, "sequence_id", "offset"])
 
-    return found.select("*", bucket).groupBy("bucket").applyInPandas(run, schema)
+    return ranked.select(*(F.col(f"`{c}`") for c in names), rank).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of docs with its place: tokenized once, then packed by length alone."""
-    found = Scratch(docs.sparkSession).write(pieces(docs, vocabulary, capacity))
-    return pack(found, capacity)
+    return pack(pieces(docs, vocabulary, capacity), capacity)
 
 
 def sequences(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids as binary, and the pieces in them."""
-    found = Scratch(docs.sparkSession).write(pieces(docs, vocabulary, capacity, keep_ids=True))
-    packed = pack(found, capacity)
+    packed = pack(pieces(docs, vocabulary, capacity, keep_ids=True), capacity)
     parts = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "start", "ids")))
     grouped = packed.groupBy("sequence_id").agg(parts.alias("parts"))
     ids = F.aggregate("parts", F.lit(b""), lambda all_, p: F.concat(all_, p["ids"]))

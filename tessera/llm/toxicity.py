@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon transducer maps words to symbols: insult, threat, target, negation,
-report, or other. A clause machine reads the symbols and emits, for each insult
-or threat, the pattern it stands in: plain, targeted, negated or reported, with
-the word's weight. A logistic model adds up the matched patterns of a document.
+A lexicon maps words to symbols: insult, threat, target, negation, report, or other.
+Five transducers, given as tables of arcs, read a clause's symbols one after another:
+negation marks what is denied, report what is quoted, threat what is aimed at a
+target, target the insults that go at someone, and insult names the patterns. They
+are composed into one machine by code; the best path through it gives a clause's
+patterns, each with its word's weight. A logistic model adds up the patterns of a
+document.
 
 The seed lexicon is fixed. Labelled documents add words and stems that mark the
 toxic ones, with their log odds as weights. Pattern weights are fitted out of
@@ -16,8 +19,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 from dataclasses import dataclass, field
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,16 +54,153 @@ STEMS = (4, 5, 6, 7)
 #: A learned form needs so many toxic documents, such a share of its documents (a stem more, as it also
 #: starts words that are harmless), and to be so many deviations above chance.
 LEAST_DOCS, LEAST_SHARE, LEAST_STEM_SHARE, LEAST_Z = 4, 0.75, 0.92, 6.0
-#: Learned forms kept, the most telling ones.
-MAX_FORMS = 3000
 SEED_WEIGHT = 4.0
 #: Words between a negation or a target and what it bears on.
 REACH = 3
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE = re.compile(r"[^\W\d_]+|[.!?;\n]")
+_CLAUSE = re.compile(r"[.!?;\n]")
 PATTERNS = ("plain", "targeted", "negated", "reported", "threat")
 
 
+# -- transducers ------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Machine:
+    """A weighted transducer: arcs of a state by what they read, as (written, weight, next state).
+
+    It starts in state start and may end in the states of ends. Of a string's paths the
+    one with the largest sum of weights counts.
+    """
+
+    start: Hashable
+    ends: frozenset
+    arcs: dict[Hashable, dict[str, list[tuple[str, float, Hashable]]]]
+
+    def compose(self, other: Machine) -> Machine:
+        """The machine whose paths are a path of this one and one of other that reads what it writes."""
+        start = (self.start, other.start)
+        arcs, waiting = {}, [start]
+        while waiting:
+            state = waiting.pop()
+            if state in arcs:
+                continue
+            arcs[state] = own = {}
+            for read, found in self.arcs[state[0]].items():
+                pairs = [(w2, x + y, (a, b)) for w1, x, a in found for w2, y, b in other.arcs[state[1]].get(w1, ())]
+                if pairs:
+                    own[read] = pairs
+                    waiting += [p[2] for p in pairs]
+        return Machine(start, frozenset(s for s in arcs if s[0] in self.ends and s[1] in other.ends), arcs)
+
+    def numbered(self) -> Machine:
+        """The same machine with numbers for states."""
+        names = {s: i for i, s in enumerate(self.arcs)}
+        arcs = {names[s]: {r: [(w, x, names[n]) for w, x, n in found] for r, found in own.items()} for s, own in self.arcs.items()}
+        return Machine(names[self.start], frozenset(names[s] for s in self.ends), arcs)
+
+    def best(self, symbols: list[str]) -> tuple[list[str], float]:
+        """What the best path for symbols writes, and its weight; of equal ones the first by the order of arcs."""
+        reached: dict[Hashable, tuple[float, tuple | None]] = {self.start: (0.0, None)}
+        for symbol in symbols:
+            step: dict[Hashable, tuple[float, tuple | None]] = {}
+            for state, (weight, path) in reached.items():
+                for written, more, after in self.arcs[state].get(symbol, ()):
+                    if after not in step or weight + more > step[after][0]:
+                        step[after] = (weight + more, (written, path))
+            reached = step
+        weight, path = max((v for s, v in reached.items() if s in self.ends), key=lambda v: v[0])
+        out = []
+        while path:
+            out.append(path[0])
+            path = path[1]
+        return out[::-1], weight
+
+
+#: Symbols: other, insult, threat, target, negation, report; then as marked by the machines.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "oitynr"
+DENIED, QUOTED, AIMED, QUOTED_THREAT, HIT, QUOTED_HIT = "i-", "i'", "i+", "t'", "y!", "y'"
+
+
+def negation_machine() -> Machine:
+    """States: words that the last negation still reaches. Denied threats are no threats."""
+    arcs = {}
+    for left in range(REACH + 1):
+        after = max(left - 1, 0)
+        own = {s: [(s, 0.0, after)] for s in (OTHER, TARGET, REPORT)}
+        own[NEGATION] = [(OTHER, 0.0, REACH)]
+        own[INSULT] = [(DENIED if left else INSULT, 0.0, after)]
+        own[THREAT] = [(OTHER if left else THREAT, 0.0, after)]
+        arcs[left] = own
+    return Machine(0, frozenset(arcs), arcs)
+
+
+def report_machine() -> Machine:
+    """States: whether the clause reports speech by now."""
+    arcs = {}
+    for reported in (False, True):
+        own = {s: [(s, 0.0, reported)] for s in (OTHER, TARGET, DENIED)}
+        own[REPORT] = [(OTHER, 0.0, True)]
+        own[INSULT] = [(QUOTED if reported else INSULT, 0.0, reported)]
+        own[THREAT] = [(QUOTED_THREAT if reported else THREAT, 0.0, reported)]
+        arcs[reported] = own
+    return Machine(False, frozenset(arcs), arcs)
+
+
+def threat_machine() -> Machine:
+    """States: the words left in which a threat must meet its target, and how that is written; () waits for none.
+
+    A threat may also be let go, which weighs less than one that meets a target.
+    """
+    same = (OTHER, INSULT, DENIED, QUOTED)
+    begin = {THREAT: (HIT, REACH), QUOTED_THREAT: (QUOTED_HIT, REACH)}
+    free = {s: [(s, 0.0, ())] for s in (*same, TARGET)} | {t: [(OTHER, 0.0, ()), (OTHER, 0.0, owed)] for t, owed in begin.items()}
+    arcs = {(): free}
+    for hit, _ in begin.values():
+        for left in range(1, REACH + 1):
+            own = {TARGET: [(hit, 1.0, ())]}
+            if left > 1:
+                own |= {s: [(OTHER if s in begin else s, 0.0, (hit, left - 1))] for s in (*same, *begin)}
+            arcs[hit, left] = own
+    return Machine((), frozenset([()]), arcs)
+
+
+def target_machine() -> Machine:
+    """States: words that the last target still reaches, and words left in which a target must follow (0: none must).
+
+    An insult is aimed if a target stands before it, or if one follows, which its path has to make good.
+    """
+    arcs = {}
+    for back in range(REACH + 1):
+        for owed in range(REACH + 1):
+            own = {s: [(s, 0.0, (REACH, 0))] for s in (TARGET, HIT, QUOTED_HIT)}
+            if owed != 1:
+                after, still = max(back - 1, 0), max(owed - 1, 0)
+                own |= {s: [(s, 0.0, (after, still))] for s in (OTHER, DENIED, QUOTED)}
+                if back:
+                    own[INSULT] = [(AIMED, 1.0, (after, still))]
+                else:
+                    own[INSULT] = [(INSULT, 0.0, (after, still)), (AIMED, 1.0, (after, still or REACH))]
+            arcs[back, owed] = own
+    return Machine((0, 0), frozenset(s for s in arcs if not s[1]), arcs)
+
+
+def insult_machine() -> Machine:
+    """One state; it names the patterns."""
+    names = {INSULT: "plain", AIMED: "targeted", DENIED: "negated", QUOTED: "reported", HIT: "threat", QUOTED_HIT: "reported"}
+    return Machine(0, frozenset([0]), {0: {s: [(names.get(s, ""), 0.0, 0)] for s in (*names, OTHER, TARGET)}})
+
+
+@cache
+def grammar_machine() -> Machine:
+    """All five composed."""
+    machines = [negation_machine(), report_machine(), threat_machine(), target_machine(), insult_machine()]
+    return reduce(Machine.compose, machines).numbered()
+
+
+# -- lexicon and clauses ----------------------------------------------------
+
+
 def forms(word: str) -> list[str]:
     """What a word may be learned as: itself, and stems marked with *."""
     return [word, *(f"{word[:n]}*" for n in STEMS if len(word) >= n)]
@@ -70,58 +211,47 @@ class Lexicon:
     """Words to (symbol, weight); what was looked up is kept."""
 
     learned: dict[str, float]
-    seen: dict[str, tuple[str, float] | None] = field(default_factory=dict)
+    seen: dict[str, tuple[str, float]] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
         return {"learned": self.learned, "seen": {}}
 
-    def look_up(self, word: str) -> tuple[str, float] | None:
-        """The insult or threat that word is, if any."""
-        if word not in self.seen:
+    def look_up(self, word: str) -> tuple[str, float]:
+        """The word's symbol and weight; a function word is that, whatever was learned."""
+        found = self.seen.get(word)
+        if found is None:
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            weight = max((self.learned[f] for f in forms(word) if f in self.learned), default=0.0)
-            if word in INSULTS:
-                weight = max(weight, SEED_WEIGHT)
-            threat = word in THREATS and not weight
-            self.seen[word] = ("threat", SEED_WEIGHT) if threat else ("insult", weight) if weight else None
-        return self.seen[word]
+            found = self.seen[word] = self._symbol(word)
+        return found
+
+    def _symbol(self, word: str) -> tuple[str, float]:
+        for symbol, words in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS)):
+            if word in words:
+                return symbol, 0.0
+        weight = max((self.learned[f] for f in forms(word) if f in self.learned), default=0.0)
+        if word in INSULTS:
+            weight = max(weight, SEED_WEIGHT)
+        if word in THREATS and not weight:
+            return THREAT, SEED_WEIGHT
+        return (INSULT, weight) if weight else (OTHER, 0.0)
 
 
 def match(text: str, lexicon: Lexicon) -> list[tuple[str, float, int]]:
-    """(pattern, weight, start of its clause in words) of each matched clause part, in order."""
+    """(pattern, weight, number of its clause) of each matched clause part, in order."""
     low = text.lower()
-    if not any(map(lexicon.look_up, set(_WORD.findall(low)))):
+    look_up = lexicon.look_up
+    bad = {w for w in set(_WORD.findall(low)) if look_up(w)[0] in (INSULT, THREAT)}
+    if not bad:
         return []
     out: list[tuple[str, float, int]] = []
-    negation = target = threat = math.inf  # words since
-    reported, clause, at, open_insults = False, 0, 0, []
-    for token in _CLAUSE.findall(low):
-        if token in ".!?;\n":
-            negation = target = threat = math.inf
-            reported, clause, open_insults = False, at, []
+    for number, clause in enumerate(_CLAUSE.split(low)):
+        words = _WORD.findall(clause)
+        if bad.isdisjoint(words):
             continue
-        at, negation, target, threat = at + 1, negation + 1, target + 1, threat + 1
-        if token in NEGATIONS:
-            negation = 0
-        elif token in REPORTS:
-            reported = True
-        elif token in TARGETS:
-            target = 0
-            if threat <= REACH:
-                out.append(("reported" if reported else "threat", SEED_WEIGHT, clause))
-                threat = math.inf
-            for i, place in open_insults:
-                if at - place <= REACH and out[i][0] == "plain":
-                    out[i] = ("targeted", *out[i][1:])
-        elif found := lexicon.look_up(token):
-            symbol, weight = found
-            if symbol == "threat":
-                threat = math.inf if negation <= REACH else 0
-                continue
-            pattern = "negated" if negation <= REACH else "reported" if reported else "targeted" if target <= REACH else "plain"
-            out.append((pattern, weight, clause))
-            open_insults.append((len(out) - 1, at))
+        found = [look_up(w) for w in words]
+        written, _ = grammar_machine().best([s for s, _ in found])
+        out += [(pattern, weight or SEED_WEIGHT, number) for pattern, (_, weight) in zip(written, found, strict=True) if pattern]
     return out
 
 
@@ -173,14 +303,15 @@ def fit_logistic(rows: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> tu
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Grammar:
-    """From at most MAX_TRAIN labelled rows, equal texts counted once.
+    """From at most MAX_TRAIN labelled rows, equal texts counted once, with the largest of their labels.
 
-    Form counts are summed by Spark, and only forms that pass the thresholds, MAX_FORMS
-    at most, come to the driver. Without both labels only the seed words count.
+    Form counts are summed by Spark, and only forms that pass the thresholds in all
+    documents or in a half of them come to the driver: that number is bounded as the
+    labelled rows are. Without both labels only the seed words count.
     """
     spark = docs.sparkSession
     prepare(spark)
-    found = training(docs, labels, target).dropDuplicates(["text"])
+    found = training(docs, labels, target).groupBy("text").agg(F.max("label").alias("label"))
     found = found.select("text", "label", (F.xxhash64("text") % 2 == 0).alias("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +328,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Grammar:
 
     counted = found.mapInArrow(count, "form string, c0 long, t0 long, c1 long, t1 long")
     counted = counted.groupBy("form").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")))
-    toxic, every = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1") + F.col("t0") + F.col("t1")
-    telling = ((toxic >= LEAST_DOCS) & (toxic >= LEAST_SHARE * every)) | (F.col("form") == "")
-    order = [F.col("form") != "", (toxic * toxic / every).desc(), "form"]
-    rows = counted.where(telling).orderBy(*order).limit(MAX_FORMS + 1).collect()
-    docs_of = rows[0] if rows and rows[0].form == "" else None
-    rows = [r for r in rows if r.form]
+    c0, t0, c1, t1 = (F.col(c) for c in ("c0", "t0", "c1", "t1"))
+    telling = F.col("form") == ""
+    for toxic, clean in ((t0, c0), (t1, c1), (t0 + t1, c0 + c1)):
+        telling |= (toxic >= LEAST_DOCS) & (toxic >= LEAST_SHARE * (toxic + clean))
+    rows = sorted(counted.where(telling).collect())
+    docs_of = rows.pop(0) if rows and rows[0].form == "" else None
     names = [r.form for r in rows]
     c0, t0, c1, t1 = (np.array([r[k] for r in rows], float).reshape(-1) for k in ("c0", "t0", "c1", "t1"))
     n = [docs_of[k] for k in ("c0", "t0", "c1", "t1")] if docs_of else [0] * 4

@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes that Spark hands to a worker at once: texts may be long.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -34,3 +34,11 @@ def prepare(spark: SparkSession) -> None:
                 archive.write(file, file.relative_to(_PACKAGE.parent))
         context.addPyFile(path)
         _sent.add(context.applicationId)
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name like name that frame doesn't have."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name

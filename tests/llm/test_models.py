@@ -157,6 +157,39 @@ def test_learned_stems():
     assert list(found) == ["bad"]
 
 
+def every_path(machine, symbols):
+    """(written, weight) of all paths, by recursion."""
+
+    def go(state, rest):
+        if not rest:
+            return [((), 0.0)] if state in machine.ends else []
+        return [((w, *more), x + y) for w, x, n in machine.arcs[state].get(rest[0], ()) for more, y in go(n, rest[1:])]
+
+    return go(machine.start, tuple(symbols))
+
+
+def test_composition_equals_paths_one_after_another():
+    machines = [toxicity.negation_machine(), toxicity.report_machine(), toxicity.threat_machine(), toxicity.target_machine(), toxicity.insult_machine()]
+    rng = random.Random(8)
+    for _ in range(400):
+        symbols = rng.choices("oityynr", k=rng.randint(0, 8))
+        found = {tuple(symbols): 0.0}
+        for machine in machines:
+            step = {}
+            for written, weight in found.items():
+                for more, extra in every_path(machine, written):
+                    step[more] = max(step.get(more, -1.0), weight + extra)
+            found = step
+        written, weight = toxicity.grammar_machine().best(symbols)
+        assert weight == max(found.values()) and found[tuple(written)] == weight, symbols
+
+
+def test_equal_texts_and_repeated_ids_train_alike(spark):
+    docs = spark.createDataFrame([(1, "same text", 0), (2, "same text", 0), (3, "b", 0), (3, "a", 0)] * 50, ROWS)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.training(docs, labels, "toxic").collect())) == [(i, t, v) for i, t, v in ((1, "same text", 0), (2, "same text", 1), (3, "a", 1)) if not held(i)]
+
+
 # -- audio ------------------------------------------------------------------
 
 

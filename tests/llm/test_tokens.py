@@ -92,6 +92,46 @@ def test_packing_rules(lengths):
     assert used <= max(1, -(-sum(lengths) // 60)) * 4 / 3 + 2
 
 
+def plain_fills(lengths, capacity):
+    """The sequences' fill levels, items taken one at a time."""
+    large, fills = sorted((n for n in lengths if 3 * n > capacity), reverse=True), []
+    while large:
+        one = large.pop(0)
+        second = next((n for n in large if one + n <= capacity), 0)
+        if second:
+            large.remove(second)
+        fills.append(one + second)
+    for n in sorted((n for n in lengths if 3 * n <= capacity), reverse=True):
+        fitting = [f for f in fills if f + n <= capacity]
+        if fitting:
+            fills.remove(max(fitting))
+        fills.append(max(fitting, default=0) + n)
+    return sorted(fills)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 60), st.sampled_from([1, 7, 19, 20, 21, 30, 41])), max_size=120))
+def test_packing_equals_one_at_a_time(lengths):
+    sequence, offset = packing.pack_lengths(np.array(lengths, np.int64), 60)
+    fills = Counter()
+    for s, n in zip(sequence.tolist(), lengths, strict=True):
+        fills[s] += n
+    assert sorted(fills.values()) == plain_fills(lengths, 60)
+    assert sorted(fills) == list(range(len(fills)))
+    check_packing(lengths, sequence, offset, 60)
+
+
+def test_packing_keeps_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 500)
+    big = 2**53 + 1
+    rows = [(None, 100, "a", 1, None)] + [(big + 2 * i, 700, "b", 2, 0.5) for i in range(30)] + [(7, 512, "c", 3, None)] * 4000
+    names = ["doc_id", "length", "bucket", "rank", "row"]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, length long, bucket string, rank int, row double").repartition(3)).collect()
+    assert Counter(tuple(r[n] for n in names) for r in found) == Counter(rows)
+    used = check_packing([r.length for r in found], [r.sequence_id for r in found], [r.offset for r in found], 2048)
+    assert used == len(plain_fills([r[1] for r in rows], 2048))
+
+
 def test_packing_is_tight():
     lengths = np.random.default_rng(1).integers(1, 2049, 8000)
     small = np.random.default_rng(2).integers(1, 300, 8000)
@@ -121,7 +161,7 @@ def test_pieces(spark, sf001):
 
 
 def test_sequences_of_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BUCKET_PIECES", 2)
+    monkeypatch.setattr(packing, "RANKED", 2)
     rows = [(1, None, 5), (1, "a b", 5), (1, "a b", 5), (None, "", None), (2, "word " * 5000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, offset long")
     found = packing.sequences(docs, BYTES).collect()
