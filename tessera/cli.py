@@ -24,6 +24,7 @@ def _arguments(args: list[str] | None) -> argparse.Namespace:
     load.add_argument("csv")
     load.add_argument("table")
     load.add_argument("--schema", required=True, help="name:type,... with type int or str")
+    load.add_argument("--parts", action="store_true", help="a folder that all tasks write, for large files")
     load.add_argument("--header", action=argparse.BooleanOptionalAction, default=True)
     inspect = commands.add_parser("inspect", aliases=["info"], help="show a table's layout")
     inspect.add_argument("table")
@@ -51,7 +52,8 @@ def _inspect(table: Table) -> str:
 
 def _explain(stats: ScanStats, seconds: float) -> str:
     if stats.metadata_only:
-        how = f"answered from metadata, 0 of {stats.row_groups_total} row groups read"
+        groups = "" if stats.row_groups_total is None else f" of {stats.row_groups_total}"
+        how = f"answered from metadata, 0{groups} row groups read"
     elif stats.row_groups_total is None:
         how = "footers not read, scan unknown"
     else:
@@ -69,7 +71,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         if options.command == "load":
             schema = parse_schema(options.schema)
-            count = import_csv(spark, options.csv, options.table, schema, options.header)
+            count = import_csv(spark, options.csv, options.table, schema, options.header, options.parts)
             print(f"{count} rows written to {options.table}")
         elif options.command == "query":
             table, statement = Table.from_parquet(spark, options.table), parse(options.sql)

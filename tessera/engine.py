@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.errors import SPARK_ERRORS, QueryError
-from tessera.operators.metadata import metadata_aggregates
-from tessera.operators.select import compile_statement
+from tessera.operators.metadata import metadata_aggregates, metadata_values
+from tessera.operators.select import compile_statement, compile_unsorted
 from tessera.plans import ast
 from tessera.plans.binder import Bound, bind, predicate_columns
 from tessera.plans.parser import parse
@@ -69,26 +69,33 @@ class Engine:
         self, table: Table, statement: ast.Select | str, options: ExecuteOptions = ExecuteOptions()
     ) -> tuple[QueryResult, ScanStats]:
         bound = self.bind(table, statement)
+        values = metadata_values(bound, table)
+        if values is not None:
+            rows = [values] if bound.limit is None or bound.limit > 0 else []
+        else:
+            rows = self._collected(bound, table, options)
+        result = QueryResult([n for _, n in bound.outputs], rows)
+        return result, scan_stats(bound, table, options, len(rows), values is not None)
+
+    def _collected(self, bound: Bound, table: Table, options: ExecuteOptions) -> list[tuple]:
+        """The rows in the language's order; they come to the driver, so that is where they are put in input order."""
         with settings(self.spark, _wanted(options)):
-            frame = metadata_aggregates(bound, table)
-            metadata_only = frame is not None
-            if frame is None:
-                frame = compile_statement(bound, table, ordered=True)
             try:
-                rows = [tuple(r) for r in frame.collect()]
+                if bound.order_by or bound.limit is not None:
+                    return [tuple(r) for r in compile_statement(bound, table, ordered=True).collect()]
+                frame, width = compile_unsorted(bound, table)
+                return [tuple(r[:width]) for r in sorted(frame.collect(), key=lambda r: r[width:])]
             except SPARK_ERRORS as e:
                 if "overflow" in str(e).lower():
                     name = next((i.output_name for i, _ in bound.outputs if getattr(i, "func", "") == "sum"), "SUM")
                     raise QueryError(f"integer overflow in {name}") from e
                 raise
-        result = QueryResult([n for _, n in bound.outputs], rows)
-        return result, scan_stats(bound, table, options, len(rows), metadata_only)
 
 
 def scan_stats(bound: Bound, table: Table, options: ExecuteOptions, returned: int, metadata_only: bool) -> ScanStats:
     """Groups that the filter's proofs leave, their rows, and the bytes of the columns read there."""
     if table.footers is None:
-        return ScanStats(None, None, None, None, returned, None, metadata_only)
+        return ScanStats(None, 0 if metadata_only else None, None, 0 if metadata_only else None, returned, 0 if metadata_only else None, metadata_only)
     groups = table.footers.groups
     if metadata_only:
         return ScanStats(len(groups), rows_returned=returned, metadata_only=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.exact import exact_avg, exact_sum
 from tessera.operators.predicate import predicate, source_column
@@ -11,7 +12,7 @@ from tessera.plans import ast
 from tessera.plans.binder import Bound
 from tessera.sources.table import POSITION, Table
 
-#: Spark takes a limit as a 32-bit integer; a larger one cannot cut anything it could return.
+#: Spark takes a limit as a 32-bit integer; rows are numbered for a larger one.
 MAX_LIMIT = 2**31 - 1
 
 
@@ -22,18 +23,40 @@ def compile_statement(bound: Bound, table: Table, ordered: bool) -> DataFrame:
     and ties so) even where there is neither ORDER BY nor LIMIT to need it.
     """
     ordered = ordered or bool(bound.order_by) or bound.limit is not None
-    if bound.is_aggregate:
-        frame, hidden = _aggregate(bound, table)
-    else:
-        frame, hidden = _project(bound, table, ordered)
+    frame, hidden = _rows(bound, table, ordered)
     if ordered:
         keys = [_key(k.output, k.column, bound) for k in bound.order_by]
         keys = [k.desc_nulls_last() if o.descending else k.asc_nulls_first() for k, o in zip(keys, bound.order_by, strict=True)]
         keys += [F.col(h).asc_nulls_first() for h in hidden]
-        frame = frame.orderBy(*keys) if keys else frame
-    if bound.limit is not None and bound.limit <= MAX_LIMIT:
-        frame = frame.limit(bound.limit)
-    return frame.select(*(f"__o{i}" for i in range(len(bound.outputs)))).toDF(*(n for _, n in bound.outputs))
+        frame = _cut(frame, keys, bound.limit)
+    return frame.select(*_outputs(bound)).toDF(*(n for _, n in bound.outputs))
+
+
+def compile_unsorted(bound: Bound, table: Table) -> tuple[DataFrame, int]:
+    """A statement without ORDER BY or LIMIT: its outputs, then the columns whose order is the language's, and how many outputs."""
+    frame, hidden = _rows(bound, table, True)
+    outputs = _outputs(bound)
+    return frame.select(*outputs, *hidden), len(outputs)
+
+
+def _outputs(bound: Bound) -> list[str]:
+    return [f"__o{i}" for i in range(len(bound.outputs))]
+
+
+def _rows(bound: Bound, table: Table, ordered: bool) -> tuple[DataFrame, list[str]]:
+    return _aggregate(bound, table) if bound.is_aggregate else _project(bound, table, ordered)
+
+
+def _cut(frame: DataFrame, keys: list[Column], limit: int | None) -> DataFrame:
+    """frame sorted by keys, the first limit rows of it."""
+    if limit is not None and limit > MAX_LIMIT:
+        # a running count is a single task's work, so only if there is something to cut
+        if frame.count() > limit:
+            place = F.count(F.lit(1)).over(Window.orderBy(*(keys or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, 0))
+            frame = frame.withColumn("__place", place).where(F.col("__place") <= limit).drop("__place")
+        limit = None
+    frame = frame.orderBy(*keys) if keys else frame
+    return frame if limit is None else frame.limit(limit)
 
 
 def _key(output: int | None, column: str | None, bound: Bound) -> Column:

@@ -1,8 +1,12 @@
-"""CSV import: strict, atomic, in file order."""
+"""CSV import: strict, atomic, in file order.
+
+Files are read by Spark's tasks alone. One pass over the lines checks that they are
+UTF-8 and whether a quoted field goes on over a line's end; only where one does is
+the file a single task's work. Fields and their numbers are checked as records are read.
+"""
 
 from __future__ import annotations
 
-import codecs
 import csv
 import os
 
@@ -12,36 +16,48 @@ from pyspark.sql import types as T
 
 from tessera.errors import SPARK_ERRORS, SchemaError
 from tessera.sources.schema import DataType, Schema
-from tessera.sources.writer import publish_file
+from tessera.sources.writer import publish_file, publish_folder
 
 _INTEGER = r"[+-]?[0-9]+"
 
 
-def import_csv(spark: SparkSession, source: str, destination: str, schema: Schema, header: bool = True) -> int:
+def import_csv(spark: SparkSession, source: str, destination: str, schema: Schema, header: bool = True, parts: bool = False) -> int:
     """Write source as a table at destination; the row count. A failure leaves nothing.
 
     Strings are kept byte for byte, integers may be padded. The header must equal
-    the schema's names in order.
+    the schema's names in order. With parts the table is a folder that all tasks
+    write, else one file that one task writes.
     """
     if os.path.exists(destination):
         raise SchemaError(f"{destination} already exists")
-    _check_text(source, schema, header)
     try:
         frame = read_csv(spark, source, schema, header)
-        publish_file(frame, destination)
+        (publish_folder if parts else publish_file)(frame, destination)
         return spark.read.parquet(destination).count()
     except SPARK_ERRORS as e:
-        lines = [line for line in str(e).splitlines() if "column" in line or "Malformed" in line]
-        raise SchemaError(f"{source}: {(lines or str(e).splitlines())[0].strip()}") from e
+        raise SchemaError(f"{source}: {_reason(str(e))}") from e
+
+
+def _reason(text: str) -> str:
+    """The line of an error that says what is wrong with the file."""
+    lines = text.splitlines() or [text]
+    told = [line for line in lines if "column" in line or "alformed" in line or "MALFORMED" in line]
+    return (told or lines)[0].strip()
 
 
 def read_csv(spark: SparkSession, source: str, schema: Schema, header: bool = True) -> DataFrame:
     """The rows of a CSV file, typed; a bad field or record is an error when it is read."""
     names = list(schema)
+    try:
+        first, end, broken = _layout(spark, source)
+    except SPARK_ERRORS as e:
+        raise SchemaError(f"cannot read {source}: {_reason(str(e))}") from e
+    if header and first != names:
+        raise SchemaError(f"the header is {first}, the schema has {names}")
     raw = (
         spark.read.schema(T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]))
-        .option("mode", "FAILFAST").option("multiLine", True).option("quote", '"').option("escape", '"')
-        .option("header", header).option("enforceSchema", True).option("lineSep", _line_end(source))
+        .option("mode", "FAILFAST").option("multiLine", broken).option("quote", '"').option("escape", '"')
+        .option("header", header).option("enforceSchema", True).option("lineSep", end)
         .option("maxCharsPerColumn", -1).option("nullValue", "\0").option("emptyValue", "")
         .csv(source)
     )
@@ -58,37 +74,29 @@ def read_csv(spark: SparkSession, source: str, schema: Schema, header: bool = Tr
     return raw.select(*columns)
 
 
-def _line_end(source: str) -> str:
-    """What ends the first record: \\r\\n or \\n, outside of quotes."""
-    quoted, last = False, ""
-    with open(source, encoding="utf-8", newline="") as f:
-        while block := f.read(1 << 16):
-            for c in block:
-                if c == '"':
-                    quoted = not quoted
-                elif c == "\n" and not quoted:
-                    return "\r\n" if last == "\r" else "\n"
-                last = c
-    return "\n"
+def _layout(spark: SparkSession, source: str) -> tuple[list[str], str, bool]:
+    """The first record, what ends lines, and whether a quoted field holds a line's end; SchemaError unless UTF-8."""
+    lines = spark.read.option("lineSep", "\n").text(source)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    odd, bad = lines.agg(F.count_if(quotes % 2 != 0), F.count_if(~F.is_valid_utf8("value"))).first()
+    if bad:
+        raise SchemaError(f"{source} is not UTF-8")
+    taken, head = 1, None
+    while head is None:
+        rows = lines.take(taken)
+        head = _first_record(rows)
+        if head is None and len(rows) < taken:
+            head = ""  # no quote closes: no header is found, and reading fails
+        taken *= 4
+    end = "\r\n" if head.endswith("\r") else "\n"
+    return next(csv.reader([head.removesuffix("\r")]), []), end, odd > 0
 
 
-def _check_text(source: str, schema: Schema, header: bool) -> None:
-    """The file is UTF-8, has the header asked for, and as many fields in each record as the schema."""
-    decoder = codecs.getincrementaldecoder("utf-8")()
-    try:
-        with open(source, "rb") as f:
-            while block := f.read(1 << 20):
-                decoder.decode(block)
-            decoder.decode(b"", final=True)
-    except OSError as e:
-        raise SchemaError(f"cannot read {source}: {e.strerror}") from e
-    except UnicodeDecodeError as e:
-        raise SchemaError(f"{source} is not UTF-8") from e
-    csv.field_size_limit(2**31 - 1)
-    with open(source, encoding="utf-8", newline="") as f:
-        records = csv.reader(f)
-        if header and (found := next(records, [])) != list(schema):
-            raise SchemaError(f"the header is {found}, the schema has {list(schema)}")
-        for record in records:
-            if record and len(record) != len(schema):
-                raise SchemaError(f"line {records.line_num}: {len(record)} fields, the schema has {len(schema)}")
+def _first_record(rows: list) -> str | None:
+    """The lines of the first record, if its quotes close within rows."""
+    head = ""
+    for i, row in enumerate(rows):
+        head += ("\n" if i else "") + row.value
+        if head.count('"') % 2 == 0:
+            return head
+    return None

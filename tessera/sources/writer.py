@@ -55,6 +55,23 @@ def publish_file(frame: DataFrame, path: str, row_group_rows: int = ROW_GROUP_RO
         shutil.rmtree(staging, ignore_errors=True)
 
 
+def publish_folder(frame: DataFrame, path: str, row_group_rows: int = ROW_GROUP_ROWS) -> None:
+    """A folder of Parquet files at a local path, in frame's order: staged beside it by all tasks, then renamed.
+
+    A rename fails if the path exists with something in it, and a failure leaves nothing behind.
+    """
+    parent = os.path.dirname(os.path.abspath(path))
+    staging = tempfile.mkdtemp(prefix=".staging-", dir=parent)
+    try:
+        with settings(frame.sparkSession, CASE):
+            _writer(frame, row_group_rows).mode("overwrite").parquet(f"file://{staging}/out")
+        if os.path.exists(path):
+            raise SchemaError(f"{path} already exists")
+        os.rename(f"{staging}/out", path)
+    finally:
+        shutil.rmtree(staging, ignore_errors=True)
+
+
 class TableWriter:
     """Rows appended one by one, for small tables; finish() publishes the file."""
 

@@ -3,7 +3,7 @@ import pytest
 from tessera import Engine, SchemaError, Table, parse_schema
 from tessera.cli import main
 from tessera.functions.render import render_bytes, render_table, render_value
-from tessera.sources.csvio import import_csv
+from tessera.sources.csvio import import_csv, read_csv
 
 READINGS = "id,sensor,value\n" + "".join(
     f"{i + 1},{('alpha', 'beta', 'gamma')[i % 3]},{v}\n"
@@ -43,6 +43,31 @@ def test_failed_import_leaves_nothing(spark, source, tmp_path, text):
     assert [p.name for p in tmp_path.iterdir()] == ["in.csv"]
 
 
+def test_import_in_parts(spark, source, tmp_path, monkeypatch):
+    text = "id,name\n" + "".join(f'{i},"n, {i}"\n' for i in range(5000))
+    out = str(tmp_path / "parts")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert import_csv(spark, source(text), out, parse_schema("id:int,name:str"), parts=True) == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len([p for p in (tmp_path / "parts").iterdir() if p.name.startswith("part-")]) > 1
+    rows = Engine(spark).run(Table.from_parquet(spark, out), "SELECT * FROM t")[0].rows
+    assert rows == [(i, f"n, {i}") for i in range(5000)]
+    with pytest.raises(SchemaError, match="exists"):
+        import_csv(spark, source(text), out, parse_schema("id:int,name:str"), parts=True)
+
+
+def test_header_over_several_lines(spark, source, tmp_path):
+    lines = "\n".join(["x"] * 9)
+    schema = parse_schema("id:int,name:str")
+    found = read_csv(spark, source(f'1,"{lines}"\n2,b\n'), schema, header=False)
+    assert [tuple(r) for r in found.collect()] == [(1, lines), (2, "b")]
+    with pytest.raises(SchemaError, match="header"):
+        read_csv(spark, source('id,"na\nme"\n1,a\n'), schema)
+
+
 def test_existing_destination_is_kept(spark, source, tmp_path):
     path = source("id\n1\n")
     with pytest.raises(SchemaError, match="exists"):
