@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera import registry_storage
 from tessera.engine import Engine
-from tessera.sources.csvio import read_csv
 from tessera.sources.schema import parse_schema
 from tessera.sources.table import Table
 
@@ -109,6 +107,11 @@ _STATEMENTS: dict[str, tuple[str, str, str]] = {
     ),
     "limit_zero": ("orders", "SELECT o_orderkey FROM orders LIMIT 0", ""),
     "limit_physical": ("orders", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey > 500 LIMIT 17", ""),
+    "default_names": (
+        "orders", "SELECT COUNT(*), COUNT(o_custkey), SUM(o_custkey), AVG(o_custkey), MIN(o_orderkey), MAX(o_orderstatus) FROM orders WHERE o_custkey > 3",
+        'SELECT COUNT(*) AS "count(*)", COUNT(o_custkey) AS "count(o_custkey)", CAST(SUM(o_custkey) AS BIGINT) AS "sum(o_custkey)", AVG(o_custkey) AS "avg(o_custkey)", '
+        'MIN(o_orderkey) AS "min(o_orderkey)", MAX(o_orderstatus) AS "max(o_orderstatus)" FROM orders WHERE o_custkey > 3',
+    ),
     "meta_count_min_max": (
         "orders", "SELECT COUNT(*) AS n, MIN(o_orderkey) AS lo, MAX(o_custkey) AS hi, MAX(o_orderstatus) AS st FROM orders", "",
     ),
@@ -136,26 +139,14 @@ def _sum_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).query(table, "SELECT k, SUM(x) AS s, AVG(x) AS a FROM t GROUP BY k")
 
 
-def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A CSV file with quotes, commas, line ends and padding, read strictly."""
-    text = 'id,name\r\n1,"a, b"\r\n 2 ,it\'s\r\n3,"two\r\nlines"\r\n4,"say ""hi"""\r\n5, padded \r\n6,""\r\n'
-    with tempfile.NamedTemporaryFile("w", suffix=".csv", delete=False, newline="", encoding="utf-8") as f:
-        f.write(text)
-    try:
-        rows = [tuple(r) for r in read_csv(spark, f.name, parse_schema("id:int,name:str")).collect()]
-    finally:
-        os.unlink(f.name)
-    return Engine(spark).query(Table.from_rows(spark, parse_schema("id:int,name:str"), rows), "SELECT * FROM t WHERE id < 6")
-
-
 QUERIES: dict[str, Query] = {n: _statement(t, sql) for n, (t, sql, _) in _STATEMENTS.items()} | {
     "sum_wide": _sum_wide,
-    "csv_rows": _csv_rows,
+    **registry_storage.QUERIES,
 }
 
 ORACLES: dict[str, str] = {n: oracle or sql for n, (_, sql, oracle) in _STATEMENTS.items() if n != "topk_ties"} | {
     "topk_ties": "SELECT l_orderkey, l_returnflag FROM (SELECT *, row_number() OVER () AS place FROM lineitem) ORDER BY l_returnflag, place LIMIT 30",
     "sum_wide": "SELECT k, CAST(SUM(x) AS BIGINT) AS s, AVG(x) AS a FROM (VALUES ('a', 9223372036854775807), ('a', 1), ('a', -5), "
     "('b', 9007199254740992), ('b', 1), ('b', 1), ('b', -9007199254740992)) AS t(k, x) GROUP BY k",
-    "csv_rows": "SELECT * FROM (VALUES (1::BIGINT, 'a, b'), (2, 'it''s'), (3, 'two' || chr(13) || chr(10) || 'lines'), (4, 'say \"hi\"'), (5, ' padded ')) AS t(id, name)",
+    **registry_storage.ORACLES,
 }
