@@ -236,8 +236,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", shards: int
     id_ = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")))
     sized = docs.select(row.alias("row"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), id_.alias("id"))
     taken = place(sized, shards, seed).select("row", "id", F.explode("placements").alias("at"))
-    order = _hash("id", "at.pass", "at.shard", seed + 50)
-    return taken.select("row.*", F.col("at.shard").alias("mix_shard"), order.alias("mix_order"))
+    return taken.select("row.*", F.col("at.shard").alias("mix_shard"), _order(F.col("at"), seed).alias("mix_order"))
+
+
+def _order(at: Column, seed: int) -> Column:
+    """The place of a row's placement in the shuffle of its shard."""
+    return _hash("id", at["pass"], at["shard"], seed + 50)
 
 
 def write_mix(mixed: DataFrame, path: str) -> None:
@@ -252,4 +256,5 @@ def op3_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))).alias("id")
     )
     taken = F.col("size") * F.size("placements")
-    return place(sized).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "placements")
+    placed = F.transform("placements", lambda at: F.struct(at["pass"].alias("pass"), at["shard"].alias("shard"), _order(at, SEED).alias("order")))
+    return place(sized).select("doc_id", "size", "source_size", "target", taken.alias("taken"), placed.alias("placements"))

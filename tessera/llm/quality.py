@@ -148,19 +148,22 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Trees:
     return fit(np.array([r.row for r in rows]), np.array([r.label for r in rows], float))
 
 
-def score(docs: DataFrame, trees: Trees) -> DataFrame:
-    """docs with column score; one of that name is replaced. A null text scores as an empty one."""
+def score(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
+    """docs with the score in column name; one of that name is replaced. A null text scores as an empty one.
+
+    Other columns are kept as they are, repeated rows score alike, and an empty table gives an empty result.
+    """
     prepare(docs.sparkSession)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = pa.array(trees.score(statistics(texts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

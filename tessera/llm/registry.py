@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_cascade": urls.ORACLE}
+    return {"op1_minhash_groups": dedup.ORACLE, "op10_url_cascade": urls.ORACLE}

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tessera.llm.scratch import Scratch
+from tessera.llm.workers import fresh
+
 #: Rows numbered by one task, about.
 SLOT_ROWS = 65_536
 SHARDS = 40
@@ -60,25 +63,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFra
     if shards < 1:
         raise ValueError("shards must be at least 1")
     docs = docs.drop("shard", "grown_shard", "slot")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    jump, hash_, bucket, count, start, place = (fresh(docs, n) for n in ("jump", "hash", "bucket", "count", "start", "place"))
     plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
     buckets = max(1, -(-docs.count() // SLOT_ROWS))
-    placed = docs.withColumn("__jump", jump_shards(F.col(f"`{key}`"), [shards, shards + 1])).withColumns(
-        {"__hash": F.xxhash64(*(F.col(f"`{c}`") for c in plain))}
-    )
-    placed = placed.withColumns(
-        {
-            "shard": F.col("__jump.s0").cast("int"),
-            "grown_shard": F.col("__jump.s1").cast("int"),
-            "__bucket": F.pmod(F.shiftright("__hash", 20), F.lit(buckets)),
-        }
-    )
-    sizes = placed.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("shard", "__bucket").orderBy("__hash", F.col(f"`{key}`"))
-    numbered = placed.withColumn("__place", F.row_number().over(inside)).join(starts, ["shard", "__bucket"])
-    slot = (F.col("__start") + F.col("__place") - 1).alias("slot")
-    return numbered.select(*(F.col(f"`{c}`") for c in docs.columns), "shard", "grown_shard", slot)
+    placed = docs.withColumns({jump: jump_shards(F.col(f"`{key}`"), [shards, shards + 1]), hash_: F.xxhash64(*(F.col(f"`{c}`") for c in plain))})
+    number = lambda i: F.col(jump)[f"s{i}"].cast("int")
+    placed = placed.withColumns({"shard": number(0), "grown_shard": number(1), bucket: F.pmod(F.shiftright(hash_, 20), F.lit(buckets))})
+    sizes = placed.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(count))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", bucket, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy("shard", bucket).orderBy(hash_, F.col(f"`{key}`"))
+    numbered = placed.withColumn(place, F.row_number().over(inside)).join(starts, ["shard", bucket])
+    slot = (F.col(start) + F.col(place) - 1).alias("slot")
+    return numbered.select(*columns, "shard", "grown_shard", slot)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
@@ -95,5 +93,6 @@ def op6_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(text) + 16).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    placed = shard(rows, SHARDS)
+    # narrow rows, written once: they are counted, dealt and numbered
+    placed = shard(Scratch(spark).write(rows), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

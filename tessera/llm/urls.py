@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.scratch import Scratch
 
-#: Rules whose cascade is sent with each task; beyond them judge() joins instead. At
-#: under 64 bits a rule the levels stay below 8 MB.
-MAX_RULES = 1_000_000
 _LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -64,17 +61,23 @@ class Level:
     seed: int
 
     def passes(self, key: Column) -> Column:
-        words = F.split(F.lit(self.words), ",").cast("array<bigint>")  # folded to one literal
-        found = F.lit(True)
-        for position in positions(key, self.bits, self.hashes, self.seed):
-            word = F.element_at(words, (F.shiftright(position, 6) + 1).cast("int"))
-            bit = F.call_function("shiftright", word, position.bitwiseAND(F.lit(63)).cast("int"))
-            found = found & (bit.bitwiseAND(F.lit(1)) == 1)
-        return found
+        """Whether all of key's bits are set: looked up one after another until one is not. The words are one literal."""
+        words = F.split(F.lit(self.words), ",").cast("array<bigint>")
+
+        def is_set(place: Column) -> Column:
+            word = F.element_at(words, (F.shiftright(place, 6) + 1).cast("int"))
+            return F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+        turns = F.sequence(F.lit(0), F.lit(self.hashes - 1))
+        return F.forall(turns, lambda turn: is_set(position(key, self.bits, turn, self.seed)))
+
+
+def position(key: Column, bits: int, turn: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed), turn), F.lit(bits)).cast("bigint")
 
 
 def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(bits)).cast("bigint") for i in range(hashes)]
+    return [position(key, bits, F.lit(i), seed) for i in range(hashes)]
 
 
 def build_level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
@@ -101,9 +104,10 @@ class Cascade:
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, universe_size: int) -> Cascade:
-    """listed and universe have a string column key; listed holds at most MAX_RULES distinct keys.
+    """listed and universe have a string column key.
 
-    universe_size: about the number of keys in universe, repeats counted; it only
+    The levels go with each task: under 64 bits a listed key, less than the keys themselves,
+    which the caller holds. universe_size: about the number of keys in universe, repeats counted; it only
     sets the first level's size. The universe is read once for the first level;
     later levels work on mistakes alone, about as many as there are listed keys.
     """
@@ -168,11 +172,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url:
     lengths = {len(r.path) for r in verdicts.values()}
     keys = candidates(F.col("host"), F.col("path"), sorted(labels), sorted(lengths))
     listed = _keys(spark, list(verdicts))
-    if len(verdicts) > MAX_RULES:
-        return _judge_by_join(parsed, keys, verdicts, default)
-    corpus = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).select(keys.alias("keys"))
-    size = corpus.agg(F.sum(F.size("keys"))).first()[0] or 0
-    cascade = build_cascade(listed, corpus.select(F.explode("keys.key").alias("key")), size)
+    corpus = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    # written once for its size and the first level
+    universe = Scratch(spark).write(corpus.select(F.explode(keys).alias("c")).select("c.key"))
+    cascade = build_cascade(listed, universe, universe.count())
     blocked = _keys(spark, [k for k, r in verdicts.items() if r.verdict == "block"])
     blocking = build_cascade(blocked, listed, len(verdicts))
     best = F.array_max(F.filter(keys, lambda c: cascade.contains(c["key"])))["key"]
@@ -187,19 +190,6 @@ def _keys(spark: SparkSession, keys: list[str]) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.explode(F.from_json(text, "array<string>")).alias("key"))
 
 
-def _judge_by_join(parsed: DataFrame, keys: Column, verdicts: dict[str, Rule], default: str) -> DataFrame:
-    """For more rules than a task should carry: candidate keys are joined to the rules."""
-    spark = parsed.sparkSession
-    blocked = _keys(spark, [k for k, r in verdicts.items() if r.verdict == "block"]).withColumn("is", F.lit("block"))
-    allowed = _keys(spark, [k for k, r in verdicts.items() if r.verdict != "block"]).withColumn("is", F.lit("allow"))
-    places = parsed.select("host", "path").distinct()
-    hits = places.select("host", "path", F.explode(keys).alias("c")).withColumn("key", F.col("c.key"))
-    best = hits.join(blocked.union(allowed), "key").groupBy("host", "path").agg(F.max(F.struct("c", "is")).alias("best"))
-    found = best.select("host", "path", F.col("best.c.key").alias("rule"), F.col("best.is").alias("verdict"))
-    joined = parsed.drop("rule", "verdict").join(found, ["host", "path"], "left")
-    return joined.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-
-
 # -- the registered query ---------------------------------------------------
 
 
