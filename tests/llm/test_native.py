@@ -195,8 +195,9 @@ def test_the_query_mixes_all_documents(spark, sf001):
     orders = [(p.shard, p.order) for r in rows for p in r.placements]
     assert len(set(orders)) == len(orders)
     for source in {r.source_size: r for r in rows}.values():
-        taken = sum(r.taken for r in rows if r.source_size == source.source_size)
-        assert abs(taken - source.target) <= 0.05 * source.target
+        own = [r for r in rows if r.source_size == source.source_size]
+        # documents are taken whole: a target is met to about half of one
+        assert abs(sum(r.taken for r in own) - source.target) <= max(0.01 * source.target, max(r.size for r in own) / 2)
 
 
 # -- URLs -------------------------------------------------------------------
