@@ -306,3 +306,25 @@ def test_pipeline_stages(spark, sf001, tmp_path):
             assert max(ids.values()) <= 3
         if name == "packing":
             assert docs.where("piece = 0").count() == sum(old.values())
+
+
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    text = "the quiet harbour town kept a long and careful record of every ship that came in. " * 30
+    rows = [(1, text, "a", "x"), (2, text, None, "y"), (2, text, None, "y"), (None, text, "a", "z"), (5, None, "b", "n"), (6, "", "b", "e"), (7, "you idiot, you stupid worthless moron!", "b", "t")]
+    docs = spark.createDataFrame([(*r, 0.25, 3, "k") for r in rows], "doc_id long, text string, source string, mark string, score double, mix_order int, text_key string")
+    empty = docs.limit(0)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == []
+        found = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert found.columns == docs.columns
+        kept[name] = found.collect()
+    assert {r.mark for r in kept["toxicity"]} == {"x", "y", "z", "n", "e"} and len(kept["toxicity"]) == 6
+    assert Counter(r.mark for r in kept["near-dedup"]) == Counter("xznet")
+    assert all((r.score, r.mix_order, r.text_key) == (0.25, 3, "k") for name in ("toxicity", "quality", "near-dedup", "mixing") for r in kept[name])
+    assert {r.mark: n for r, n in Counter(kept["quality"]).items()}.get("y", 2) == 2
+    assert Counter(r.doc_id for r in kept["packing"] if r.piece == 0) == Counter(r[0] for r in rows)
