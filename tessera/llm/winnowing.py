@@ -1,10 +1,15 @@
 """Document fingerprints by winnowing.
 
-A text's code points give a rolling hash of each k-gram. Of every WINDOW
+A text's code points give a rolling hash of each k-gram. Of every window of
 consecutive hashes the smallest is chosen, of equal ones the rightmost. Texts
 that share at least K + WINDOW - 1 characters in a row share a chosen hash, and
 the positions kept tell where. A text of fewer k-grams than a window gives its
-smallest hash, one shorter than K the hash of all of it, an empty one nothing.
+smallest hash, one shorter than a k-gram the hash of all of it, an empty one nothing.
+
+Shorter texts have smaller windows and very short ones smaller k-grams, see scale().
+Two texts are compared at the smaller k-gram and the larger window of their scales:
+what a window chooses, every smaller window chooses too. So a text of seven
+characters or more has a hash in common with any text that keeps half of it in a row.
 """
 
 from __future__ import annotations
@@ -20,15 +25,25 @@ from pyspark.sql import functions as F
 from tessera.llm import ranges
 from tessera.llm.workers import prepare
 
-#: K and WINDOW are powers of two: hashes and minima double their width step by step.
+#: Powers of two: hashes and minima double their width step by step.
 K, WINDOW = 16, 64
+#: The k-gram of texts of fewer than 4 * K code points, whose halves hold few longer ones.
+SHORT_K = 4
+#: Code points of a text for each hash that its window spans, up to WINDOW.
+WINDOW_SHARE = 16
 #: Windows looked at together; bounds memory for very long texts.
 CHUNK = 1 << 20
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _PLACE_BITS = 24
 
 
-def _hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
+def scale(chars: int) -> tuple[int, int]:
+    """(k, window) of a text of so many code points."""
+    window = min(WINDOW, max(1, chars // WINDOW_SHARE))
+    return K if chars >= 4 * K else SHORT_K, 1 << window.bit_length() - 1
+
+
+def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each run of k codes: their polynomial in _BASE, mixed."""
     found, factor, width = codes.astype(np.uint64) * np.uint64(_MIX), _BASE, 1
     while width < k:
@@ -38,32 +53,37 @@ def _hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
     return found * np.uint64(_MIX)
 
 
-def winnow(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the chosen k-grams, hashes of 40 bits, positions in code points, ascending."""
+def winnow(text: str, at_scale: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of the chosen k-grams, hashes of 40 bits, positions in code points, ascending.
+
+    The scale is the text's own where none is given.
+    """
+    k, window = at_scale or scale(len(text))
     codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
     if not len(codes):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(codes) < K:
+    if len(codes) < k:
         # no padding character: 0x110000 and more are not code points
-        codes = np.concatenate([codes, np.arange(0x110000, 0x110000 + K - len(codes), dtype=np.uint32)])
-    grams = len(codes) - K + 1
-    found = [_chosen(codes[at : at + CHUNK + WINDOW + K - 2], at) for at in range(0, max(1, grams - WINDOW + 1), CHUNK)]
+        codes = np.concatenate([codes, np.arange(0x110000, 0x110000 + k - len(codes), dtype=np.uint32)])
+    grams = len(codes) - k + 1
+    chunks = range(0, max(1, grams - window + 1), CHUNK)
+    found = [_chosen(codes[at : at + CHUNK + window + k - 2], at, k, window) for at in chunks]
     hashes, places = (np.concatenate(x) for x in zip(*found, strict=True))
     fresh = np.flatnonzero(np.diff(places, prepend=-1))
     return hashes[fresh], places[fresh]
 
 
-def _chosen(codes: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
-    hashes = _hashes(codes)
+def _chosen(codes: np.ndarray, at: int, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    hashes = _hashes(codes, k)
     most = (1 << _PLACE_BITS) - 1
     # later places have smaller low bits, so the rightmost of equal hashes is the minimum
     low = np.arange(most, most - len(hashes), -1, dtype=np.int64).astype(np.uint64)
     least = (hashes & ~np.uint64(most)) | low
-    if len(least) < WINDOW:
+    if len(least) < window:
         least = least.min(keepdims=True)
     else:
         width = 1
-        while width < WINDOW:
+        while width < window:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         least = least[np.flatnonzero(np.diff(least, prepend=~least[:1]))]
@@ -76,9 +96,23 @@ def as_text(found: tuple[np.ndarray, np.ndarray]) -> str:
     return " ".join(f"{p}:{h:010x}" for h, p in zip(found[0].tolist(), found[1].tolist(), strict=True))
 
 
-def likeness(a: set[int], b: set[int]) -> float:
-    """Jaccard similarity of the hashes; two empty texts are alike."""
-    return len(a & b) / len(a | b) if a or b else 1.0
+class Print:
+    """A text with its fingerprint and the hashes in it."""
+
+    def __init__(self, text: str):
+        self.text, self.scale = text, scale(len(text))
+        self.found = winnow(text, self.scale)
+        self.hashes = set(self.found[0].tolist())
+
+    def hashes_at(self, at_scale: tuple[int, int]) -> set[int]:
+        return self.hashes if at_scale == self.scale else set(winnow(self.text, at_scale)[0].tolist())
+
+
+def likeness(a: Print, b: Print) -> float:
+    """Jaccard similarity of the hashes at the scale that a and b have in common; two empty texts are alike."""
+    common = min(a.scale[0], b.scale[0]), max(a.scale[1], b.scale[1])
+    one, other = a.hashes_at(common), b.hashes_at(common)
+    return len(one & other) / len(one | other) if one or other else 1.0
 
 
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,8 +183,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         columns = (batch.column(i).to_pylist() for i in range(4))
         for where, carried, doc_id, text in zip(*columns, strict=True):
-            found = winnow(text)
-            here = (where, doc_id, text, found, set(found[0].tolist()))
+            here = (where, doc_id, Print(text))
             if before is not None and before[0] == where:
                 out.append(_row(before, here))
             before = None if carried else here
@@ -161,18 +194,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _row(here: tuple, after: tuple) -> tuple:
-    _, doc_id, text, found, hashes = here
-    half = len(text) // 2
-    edited = text[: len(text) - half] + after[2][:half]
-    other = winnow(edited)
+    _, doc_id, own = here
+    half = len(own.text) // 2
+    edited = Print(own.text[: len(own.text) - half] + after[2].text[:half])
     return (
         doc_id,
-        len(text),
-        hashlib.sha256(edited.encode()).hexdigest(),
-        as_text(found),
-        as_text(other),
-        likeness(hashes, set(other[0].tolist())),
-        likeness(hashes, after[4]),
+        len(own.text),
+        hashlib.sha256(edited.text.encode()).hexdigest(),
+        as_text(own.found),
+        as_text(edited.found),
+        likeness(own, edited),
+        likeness(own, after[2]),
     )
 
 

@@ -6,25 +6,26 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import ranges, winnowing
-from tessera.llm.winnowing import K, WINDOW, winnow
+from tessera.llm.winnowing import K, WINDOW, Print, likeness, scale, winnow
 
 
-def plain(text):
+def plain(text, at_scale=None):
     """By definition: hash each k-gram on its own, choose in each window."""
     if not text:
         return []
+    k, window = at_scale or scale(len(text))
     codes = [ord(c) for c in text]
-    codes += [0x110000 + i for i in range(K - len(codes))]
+    codes += [0x110000 + i for i in range(k - len(codes))]
     hashes = []
-    for i in range(len(codes) - K + 1):
+    for i in range(len(codes) - k + 1):
         h = 0
-        for c in codes[i : i + K]:
+        for c in codes[i : i + k]:
             h = (h * winnowing._BASE + c * winnowing._MIX) % 2**64
         hashes.append((h ^ (h >> 29)) * winnowing._MIX % 2**64 >> 24)
     chosen = set()
-    for i in range(max(1, len(hashes) - WINDOW + 1)):
-        window = hashes[i : i + WINDOW]
-        chosen.add(i + max(j for j, h in enumerate(window) if h == min(window)))
+    for i in range(max(1, len(hashes) - window + 1)):
+        seen = hashes[i : i + window]
+        chosen.add(i + max(j for j, h in enumerate(seen) if h == min(seen)))
     return [(hashes[p], p) for p in sorted(chosen)]
 
 
@@ -36,9 +37,10 @@ _TEXTS = st.one_of(st.text(max_size=300), st.text(st.sampled_from("ab"), max_siz
 
 
 @settings(max_examples=150, deadline=None)
-@given(_TEXTS)
-def test_definition(text):
-    assert found(text) == plain(text)
+@given(_TEXTS, st.sampled_from([None, (4, 1), (4, 64), (16, 2), (16, 64)]))
+def test_definition(text, at_scale):
+    hashes, places = winnow(text, at_scale)
+    assert list(zip(hashes.tolist(), places.tolist(), strict=True)) == plain(text, at_scale)
 
 
 def test_chunks(monkeypatch):
@@ -56,6 +58,42 @@ def test_shared_passages_are_found(before, passage, after, other):
     assert places
 
 
+@pytest.mark.parametrize("chars", [0, 1, 3, 31, 32, 63, 64, 127, 128, 157, 158, 512, 1023, 1024, 10**6])
+def test_scale(chars):
+    k, window = scale(chars)
+    assert k == (16 if chars >= 64 else 4) and window & (window - 1) == 0
+    assert max(1, min(64, chars // 16)) // 2 < window <= max(1, min(64, chars // 16))
+    if chars >= 7:
+        assert k + window - 1 <= chars - chars // 2  # a kept half holds a whole window
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(min_size=7, max_size=400), st.text(max_size=400))
+def test_a_text_that_keeps_half_is_found(text, after):
+    half = len(text) // 2
+    assert likeness(Print(text), Print(text[: len(text) - half] + after[:half])) > 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(_TEXTS, st.sampled_from([1, 2, 4, 8, 16, 32]))
+def test_smaller_windows_choose_what_larger_ones_do(text, window):
+    assert len(text) < 4 + 2 * window or set(plain(text, (4, 2 * window))) <= set(plain(text, (4, window)))
+
+
+def test_short_texts_differ_from_unlike_ones(sf001):
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{sf001}/documents.parquet").column("text").to_pylist() if t]
+    texts = [t[i : i + n] for t in texts[:60] for n in (24, 40, 70, 120, 157) for i in [len(t) // 3] if len(t) > 3 * n]
+    edited, after = [], []
+    for i, text in enumerate(texts):
+        other = texts[(i + 7) % len(texts)]
+        half = len(text) // 2
+        edited.append(likeness(Print(text), Print(text[: len(text) - half] + other[:half])))
+        after.append(likeness(Print(text), Print(other)))
+    assert min(edited) > 0.1 and sum(e > a for e, a in zip(edited, after, strict=True)) >= 0.97 * len(texts)
+
+
 def expected(rows):
     """Rows of (doc_id, text) in descending order."""
     out = {}
@@ -64,8 +102,11 @@ def expected(rows):
         text = text or ""
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        sets = [{h for h, _ in found(t)} for t in (text, edited, after)]
-        near = [len(sets[0] & s) / len(sets[0] | s) if sets[0] | s else 1.0 for s in sets[1:]]
+        near = []
+        for other in (edited, after):
+            (k, window), (k2, window2) = scale(len(text)), scale(len(other))
+            a, b = (set(winnow(t, (min(k, k2), max(window, window2)))[0].tolist()) for t in (text, other))
+            near.append(len(a & b) / len(a | b) if a | b else 1.0)
         shown = [" ".join(f"{p}:{h:010x}" for h, p in found(t)) for t in (text, edited)]
         out[doc_id] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), *shown, *near)
     return out
