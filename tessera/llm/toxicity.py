@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon maps words to symbols: insult, threat, target, negation, report, or other.
-Five transducers, given as tables of arcs, read a clause's symbols one after another:
+A lexicon maps words to their kinds: insult, threat, target, negation, report, or other.
+Five transducers, given as tables of arcs, read a clause's kinds, a symbol each, one after another:
 negation marks what is denied, report what is quoted, threat what is aimed at a
 target, target the insults that go at someone, and insult names the patterns. They
 are composed into one machine by code; the best path through it gives a clause's
@@ -34,7 +34,7 @@ from tessera.llm.workers import prepare
 #: A document scoring as much is rejected.
 THRESHOLD = 0.5
 
-#: Seed words by symbol.
+#: Seed words by kind.
 INSULTS = frozenset(
     "idiot idiots moron morons stupid scum trash loser losers pathetic disgusting worthless clown clowns dumb fool jerk "
     "imbecile vermin bastard bitch asshole dumbass filth idiota estúpido imbécil basura crétin connard ordure salaud "
@@ -119,6 +119,7 @@ class Machine:
 
 #: Symbols: other, insult, threat, target, negation, report; then as marked by the machines.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "oitynr"
+SYMBOLS = {"other": OTHER, "insult": INSULT, "threat": THREAT, "target": TARGET, "negation": NEGATION, "report": REPORT}
 DENIED, QUOTED, AIMED, QUOTED_THREAT, HIT, QUOTED_HIT = "i-", "i'", "i+", "t'", "y!", "y'"
 
 
@@ -208,40 +209,39 @@ def forms(word: str) -> list[str]:
 
 @dataclass
 class Lexicon:
-    """Words to (symbol, weight); what was looked up is kept."""
+    """Words to (kind, weight), None for other words; what was looked up is kept."""
 
     learned: dict[str, float]
-    seen: dict[str, tuple[str, float]] = field(default_factory=dict)
+    seen: dict[str, tuple[str, float] | None] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
         return {"learned": self.learned, "seen": {}}
 
-    def look_up(self, word: str) -> tuple[str, float]:
-        """The word's symbol and weight; a function word is that, whatever was learned."""
-        found = self.seen.get(word)
-        if found is None:
+    def look_up(self, word: str) -> tuple[str, float] | None:
+        """The word's kind and weight; a function word is that, whatever was learned."""
+        if word not in self.seen:
             if len(self.seen) > 300_000:
                 self.seen.clear()
-            found = self.seen[word] = self._symbol(word)
-        return found
+            self.seen[word] = self._kind(word)
+        return self.seen[word]
 
-    def _symbol(self, word: str) -> tuple[str, float]:
-        for symbol, words in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS)):
+    def _kind(self, word: str) -> tuple[str, float] | None:
+        for kind, words in (("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS)):
             if word in words:
-                return symbol, 0.0
+                return kind, 0.0
         weight = max((self.learned[f] for f in forms(word) if f in self.learned), default=0.0)
         if word in INSULTS:
             weight = max(weight, SEED_WEIGHT)
         if word in THREATS and not weight:
-            return THREAT, SEED_WEIGHT
-        return (INSULT, weight) if weight else (OTHER, 0.0)
+            return "threat", SEED_WEIGHT
+        return ("insult", weight) if weight else None
 
 
 def match(text: str, lexicon: Lexicon) -> list[tuple[str, float, int]]:
     """(pattern, weight, number of its clause) of each matched clause part, in order."""
     low = text.lower()
     look_up = lexicon.look_up
-    bad = {w for w in set(_WORD.findall(low)) if look_up(w)[0] in (INSULT, THREAT)}
+    bad = {w for w in set(_WORD.findall(low)) if (found := look_up(w)) and found[0] in ("insult", "threat")}
     if not bad:
         return []
     out: list[tuple[str, float, int]] = []
@@ -249,8 +249,8 @@ def match(text: str, lexicon: Lexicon) -> list[tuple[str, float, int]]:
         words = _WORD.findall(clause)
         if bad.isdisjoint(words):
             continue
-        found = [look_up(w) for w in words]
-        written, _ = grammar_machine().best([s for s, _ in found])
+        found = [look_up(w) or ("other", 0.0) for w in words]
+        written, _ = grammar_machine().best([SYMBOLS[kind] for kind, _ in found])
         out += [(pattern, weight or SEED_WEIGHT, number) for pattern, (_, weight) in zip(written, found, strict=True) if pattern]
     return out
 
