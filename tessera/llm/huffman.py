@@ -132,7 +132,7 @@ def decode(payload: bytes, offsets: np.ndarray, counts: np.ndarray, table: tuple
 
 
 def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """docs (range, doc_id, text) with ids, 16 bits each and the end id last, in place of text."""
+    """docs (range, doc_id, tie, text) with ids, 16 bits each and the end id last, in place of text."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +141,10 @@ def tokenize(docs: DataFrame, vocabulary: str) -> DataFrame:
             raise ValueError(f"the vocabulary has more than {1 << MAX_BITS} ids")
         end = np.array([END_ID], "<u2").tobytes()
         for batch in batches:
-            ids = [i.astype("<u2").tobytes() + end for i in found.encode(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["range", "doc_id", "ids"])
+            ids = [i.astype("<u2").tobytes() + end for i in found.encode(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=["range", "doc_id", "tie", "ids"])
 
-    return docs.select("range", "doc_id", "text").mapInArrow(run, "range int, doc_id long, ids binary")
+    return docs.select("range", "doc_id", "tie", "text").mapInArrow(run, "range int, doc_id long, tie long, ids binary")
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
@@ -172,13 +172,13 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
     """Encode docs (doc_id, text) in ascending doc_id order, nulls first, under path, which must not exist.
 
     A null or empty text is its end id alone. Of equal doc_ids the order is that of
-    a hash of their ids. No documents make no blocks.
+    a hash of their texts. No documents make no blocks.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    bounds = ranges.range_bounds(docs)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    dealt = ranges.ranges_of(docs)
     scratch = Scratch(spark)
-    tokens = scratch.write(tokenize(docs.withColumn("range", ranges.range_of(F.col("doc_id"), bounds)), vocabulary))
+    tokens = scratch.write(tokenize(docs.withColumn("range", dealt.of(F.col("doc_id"), F.col("tie"))), vocabulary))
     bits = code_lengths(count_ids(tokens))
     codes = canonical_codes(bits)
     listed = F.split(F.lit(",".join(map(str, bits.tolist()))), ",")
@@ -199,7 +199,7 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
             return pa.RecordBatch.from_arrays(arrays, names=["range", "block", "first", "doc_ids", "lengths", "checkpoints", "payload"])
 
         for batch in batches:
-            for part, doc_id, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for part, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "ids")), strict=True):
                 if part != own or size >= BLOCK_IDS:
                     if held:
                         yield flush()
@@ -210,8 +210,8 @@ def write(docs: DataFrame, vocabulary: str, path: str) -> None:
         if held:
             yield flush()
 
-    placed = tokens.repartitionById(len(bounds) + 1, F.col("range"))
-    ranged = placed.sortWithinPartitions("range", "doc_id", F.xxhash64("ids"))
+    placed = tokens.repartitionById(dealt.count, F.col("range"))
+    ranged = placed.sortWithinPartitions("range", "doc_id", "tie")
     ranged.mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     scratch.drop(tokens)
 
@@ -230,12 +230,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(bits)
         for batch in batches:
-            rows = batch.to_pylist()
-            while rows:
-                group, size = [], 0
-                while rows and (not group or size + sum(rows[0]["lengths"]) <= DECODE_IDS):
-                    group.append(rows.pop(0))
-                    size += sum(group[-1]["lengths"])
+            group, size = [], 0
+            for row in batch.to_pylist():
+                more = sum(row["lengths"])
+                if group and size + more > DECODE_IDS:
+                    yield _decoded(group, table)
+                    group, size = [], 0
+                group.append(row)
+                size += more
+            if group:
                 yield _decoded(group, table)
 
     return placed.select("first", "doc_ids", "lengths", "checkpoints", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -151,17 +151,17 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = ranges.range_bounds(docs)
-    placed = docs.withColumn("range", ranges.range_of(F.col("doc_id"), bounds))
+    dealt, tie = ranges.ranges_of(docs), F.xxhash64("text")
+    # ranges ascend where documents descend, but for the tie
+    placed = docs.withColumn("range", dealt.of(F.col("doc_id"), F.bitwise_not(tie)))
     # a range's first row: the highest doc_id there, of equal ones the smallest hash. There are
-    # MAX_RANGES at most, so they travel through the driver and no join moves the texts
-    tie = F.xxhash64("text")
+    # a few times MAX_RANGES at most, so they travel through the driver and no join moves the texts
     first = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-tie.cast("decimal(20,0)")).alias("tie")))
     firsts = {r.range: r.first for r in placed.groupBy("range").agg(first.alias("first")).collect()}
     order = sorted(firsts)
     above = dict(zip(order, order[1:] + order[:1], strict=True))
     of = lambda values: F.element_at(
-        F.split(F.lit(",".join(str(values.get(r, "")) for r in range(len(bounds) + 1))), ","), F.col("range") + 1
+        F.split(F.lit(",".join(str(values.get(r, "")) for r in range(dealt.count))), ","), F.col("range") + 1
     ).try_cast("bigint")
     is_first = F.col("doc_id").eqNullSafe(of({r: f.doc_id for r, f in firsts.items() if f.known}))
     is_first &= tie == of({r: -int(f.tie) for r, f in firsts.items()})
@@ -170,7 +170,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     carried = F.struct(F.col("also").alias("range"), F.lit(1).alias("carried"))
     copies = F.filter(F.array(own, carried), lambda c: c["range"].isNotNull())
     rows = placed.select("doc_id", "text", F.explode(copies).alias("at")).select("at.range", "at.carried", "doc_id", "text")
-    rows = rows.repartitionById(len(bounds) + 1, F.col("range"))
+    rows = rows.repartitionById(dealt.count, F.col("range"))
     rows = rows.sortWithinPartitions("range", "carried", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     return rows.mapInArrow(_compare, _EDITS)
 

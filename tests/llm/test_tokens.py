@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import huffman, packing, ranges, tokens
@@ -248,3 +249,19 @@ def test_files_of_odd_rows(spark, tmp_path):
     assert found == [(0, None, 2), (2, 1, 1), (3, 1, 1), (4, 2, 60_001), (60_005, 3, 1)]
     huffman.write(docs.limit(0), WORDS, f"{tmp_path}/b")
     assert huffman.read(spark, f"{tmp_path}/b").collect() == []
+
+
+def test_files_of_hot_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 10)
+    monkeypatch.setattr(huffman, "DECODE_IDS", 100)
+    rows = [([None, 50, i][i % 3], f"text number {i * i} " * (i % 7)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [tuple(r) for r in docs.select("doc_id", "text", F.xxhash64("text")).collect()]
+    order.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    huffman.write(docs, WORDS, f"{tmp_path}/a")
+    found = sorted((tuple(r) for r in huffman.read(spark, f"{tmp_path}/a").collect()), key=lambda r: r[1])
+    wanted, start = [], 0
+    for (doc_id, _, _), ids in zip(order, library(WORDS, [r[1] for r in order]), strict=True):
+        wanted.append((doc_id, start, len(ids) + 1, np.array([*ids, 1], "<u4").tobytes()))
+        start += len(ids) + 1
+    assert found == wanted

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -132,6 +133,35 @@ def test_edits_of_odd_rows(spark, monkeypatch, size):
     assert winnowing.compare_with_edits(docs.limit(0)).collect() == []
 
 
+def hot_rows(spark, n=240):
+    """A third of the rows have no id, a third share one; with the hashes of their texts."""
+    rows = [([None, 50, i][i % 3], f"text number {i * i} " * (i % 7)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return docs, [tuple(r) for r in docs.select("doc_id", "text", F.xxhash64("text")).collect()]
+
+
+def test_hot_ids_have_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 10)
+    docs, rows = hot_rows(spark)
+    dealt = ranges.ranges_of(docs)
+    found = [(tuple(r)[:2], r.r) for r in docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").withColumn("r", dealt.of(F.col("doc_id"), F.col("tie"))).select("doc_id", "tie", "r").collect()]
+    found.sort(key=lambda x: (x[0][0] is not None, x[0]))
+    numbers = [r for _, r in found]
+    assert numbers == sorted(numbers) and 0 <= numbers[0] and numbers[-1] < dealt.count
+    for hot in (None, 50):
+        own = {(r, tie) for (i, tie), r in found if i == hot}  # rows alike in both can't be split
+        assert len({r for r, _ in own}) >= 5 and max(sum(r == n for r, _ in own) for n in numbers) <= 30
+
+
+def test_edits_of_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 10)
+    docs, rows = hot_rows(spark)
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    wanted = expected([(i, text) for i, (_, text, _) in enumerate(rows)])
+    found = Counter((r.doc_id, tuple(r)[1:]) for r in winnowing.compare_with_edits(docs).collect())
+    assert found == Counter((r[0], wanted[i]) for i, r in enumerate(rows))
+
+
 def test_fingerprint_arrays(spark):
     docs = spark.createDataFrame([("k", None, 1), (None, "some text " * 30, 2)], "doc_id string, text string, hashes int")
     rows = winnowing.fingerprint(docs).collect()
