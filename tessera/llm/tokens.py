@@ -1,10 +1,10 @@
 """Token ids of whole texts, by a vocabulary file of the tokenizers library.
 
 The library is slow on what it has met before, and texts repeat their words.
-Arrow cuts a batch of texts at places where no token can cross, and numbers the
-distinct chunks; a chunk's ids are looked up once per batch. Chunks are kept from
-batch to batch, and so are the words (the library's own cut) that new chunks
-consist of; the library encodes words that are new to a worker. Texts, chunks and
+A batch of texts is cut by Arrow, or NumPy, at places where no token can cross, and
+Arrow numbers the distinct pieces; a piece's ids are looked up once per batch. Pieces
+are kept from batch to batch, and so are the words (the library's own cut) that new
+pieces consist of; the library encodes words that are new to a worker. Texts, chunks and
 words that can't be taken apart safely go to the library whole. The ids are those
 that it gives for the whole text.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -189,26 +190,135 @@ class SpaceTokenizer(ChunkTokenizer):
 class WordTokenizer(ChunkTokenizer):
     """For vocabularies of lower-case words with an end mark, which drop white space.
 
-    Chunks are what stands between ASCII white space. Words are taken from chunks
-    of Latin letters only, on which lower case and normal forms are plain.
+    Texts are cut at ASCII white space. What stands between is cut on into words, by
+    the kinds of its bytes, if it has Latin characters only, on which lower case and
+    normal forms are plain, and no apostrophe; it stays whole if not. These units are
+    kept by number, with their ids in one row.
     """
 
     #: Fixed value: the cut of this kind of vocabulary.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     _PLAIN = regex.compile("[\x21-\x7e\xa1-įı-ž]+")
+    _SPACE, _LETTER, _NUMBER, _SIGN, _OTHER = range(5)
 
     def __init__(self, path: str):
         super().__init__(path)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        kinds = np.array([self._kind(chr(c)) for c in range(0x180)], np.uint8)
+        # by byte, and by character for those of two bytes from U+0080 on
+        self.byte_kinds, self.kinds = np.full(256, self._OTHER, np.uint8), kinds
+        self.byte_kinds[:128] = kinds[:128]
+        self.numbers: dict[bytes, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _kind(self, c: str) -> int:
+        if c in " \t\n\v\f\r":
+            return self._SPACE
+        if c == "'" or not self._PLAIN.fullmatch(c):
+            return self._OTHER
+        return self._LETTER if regex.match(r"\p{L}", c) else self._NUMBER if regex.match(r"\p{N}", c) else self._SIGN
+
+    def _units(self, data: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Units of texts that lie in data from edge to edge; the first of each text; which are not single words."""
+        kind = self.byte_kinds[data]
+        two = np.flatnonzero((data >= 0xC2) & (data <= 0xC5))
+        if len(two):
+            two = two[data[np.minimum(two + 1, len(data) - 1)] >> 6 == 2]
+            kind[two] = self.kinds[(data[two].astype(np.int64) & 0x1F) << 6 | data[two + 1] & 0x3F]
+            kind[two + 1] = kind[two]
+        own = kind != self._SPACE
+        first = own.copy()  # of what stands between white space
+        first[1:] &= ~own[:-1]
+        begins = kind == self._NUMBER
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins[two + 1] = False
+        heads = edges[:-1][edges[:-1] < edges[1:]]
+        for flags in (first, begins):
+            flags[heads] = True
+        first &= own
+        begins = (begins | first) & own
+        at = np.flatnonzero(begins)
+        mixed = kind[at] == self._OTHER  # a run of one kind has a unit at its begin
+        if mixed.any():
+            leads = first[at]
+            chunk = np.cumsum(leads) - 1
+            mixed = np.bincount(chunk, mixed)[chunk] > 0
+            begins[at[mixed & ~leads]] = False
+            at, mixed = at[leads | ~mixed], mixed[leads | ~mixed]
+        packed = data[own]
+        offsets = np.append(np.flatnonzero(begins[own]), len(packed)).astype(np.int64)
+        units = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+        return units, np.searchsorted(at, edges), mixed
 
-    def _cut(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
-        return pc.ascii_split_whitespace(texts), np.zeros(len(texts), bool)
+    def _group(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        _, offsets, values = texts.buffers()
+        edges = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+        data = np.frombuffer(values, np.uint8, edges[-1] - edges[0], edges[0]) if edges[-1] > edges[0] else np.zeros(0, np.uint8)
+        units, lists, mixed = self._units(data, edges - edges[0])
+        numbered = units.dictionary_encode()
+        index = numbered.indices.to_numpy(zero_copy_only=False)
+        # by one string: a list of Arrow's values takes several times as long
+        lone = pa.ListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary)
+        known = pc.binary_join(lone, pa.scalar(b" ", pa.large_binary()))[0].as_py().split(b" ") if len(index) else []
+        ids, edges = self._gather(known, index, mixed)
+        for a, b in zip(edges[lists[:-1]].tolist(), edges[lists[1:]].tolist(), strict=True):
+            yield ids[a:b]
+
+    def _gather(self, units: list[bytes], index: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units in a row, by their places in units, and where each unit's begin."""
+        if len(self.numbers) > MAX_WORDS:
+            self.numbers.clear()
+        base = len(self.numbers)
+        rows = np.fromiter(map(self.numbers.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(rows < 0)
+        starts, sizes, ids = self.starts[:base], self.sizes[:base], self.ids
+        if len(new):
+            # units that are not kept come last
+            long = np.array([len(units[i]) > MAX_KEPT_CHARS for i in new.tolist()])
+            new = np.concatenate([new[~long], new[long]])
+            kinds = np.zeros(len(units), bool)
+            kinds[index[mixed]] = True
+            found = self._learn_units([units[i] for i in new.tolist()], kinds[new])
+            more = np.array([len(i) for i in found], np.int64) // 4
+            end = int(starts[-1] + sizes[-1]) if base else 0
+            starts, sizes = np.concatenate([starts, end + np.cumsum(more) - more]), np.concatenate([sizes, more])
+            ids = np.concatenate([ids[:end], np.frombuffer(b"".join(found), "<u4")])
+            rows[new] = base + np.arange(len(new))
+            kept = base + int((~long).sum())
+            self.numbers.update(zip([units[i] for i in new[: kept - base].tolist()], range(base, kept), strict=True))
+            self.starts, self.sizes, self.ids = starts[:kept], sizes[:kept], ids
+        own = sizes[rows][index]
+        edges = np.concatenate([[0], np.cumsum(own)])
+        return ids[np.repeat(starts[rows][index] - edges[:-1], own) + np.arange(edges[-1])], edges
+
+    def _learn_units(self, units: list[bytes], mixed: np.ndarray) -> list[bytes]:
+        text = b" ".join(units).decode()
+        chunks, words = text.split(" "), text.lower().split(" ")
+        mixed = np.flatnonzero(mixed).tolist()
+        parts = dict(zip(mixed, self._words([chunks[i] for i in mixed]), strict=True))
+        single = words if not mixed else [w for i, w in enumerate(words) if i not in parts]
+        need = set(single).union(*(p for p in parts.values() if p))
+        found = {}
+        for word in need.difference(chunks):  # what is in chunks is new
+            row = self.numbers.get(word.encode())
+            if row is not None:
+                start = self.starts[row]
+                found[word] = self.ids[start : start + self.sizes[row]].tobytes()
+        new = list(need.difference(found))
+        for i in range(0, len(new), CALL_WORDS):
+            call = new[i : i + CALL_WORDS]
+            found.update(zip(call, self._encode_words(call) or self.whole(call), strict=True))
+        whole = iter(self.whole([chunks[i] for i in mixed if parts[i] is None]))
+        for i in mixed:
+            words[i] = f"{chunks[i]} "  # no word has a space
+            found[words[i]] = next(whole) if parts[i] is None else b"".join(map(found.__getitem__, parts[i]))
+        return list(map(found.__getitem__, words))
 
     def _words(self, chunks: list[str]) -> list[list[str] | None]:
         find, plain = self.PATTERN.findall, self._PLAIN.fullmatch
-        return [[] if not c else find(c.lower()) if plain(c) else None for c in chunks]
+        return [find(c.lower()) if plain(c) else None for c in chunks]
 
     def _encode_words(self, words: list[str]) -> list[bytes] | None:
         data = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")

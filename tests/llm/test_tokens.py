@@ -67,6 +67,34 @@ def test_few_chunks_kept(monkeypatch):
         assert encoded(kind(path), texts) == library(path, texts)
 
 
+def test_only_mixed_chunks_are_cut_one_by_one(monkeypatch):
+    texts = ["Plain words, (and) 12 numbers-½² of Été übers×Ÿ!", None, "", "of Plain; it's WORDS plain", "übers 日本 " + "z" * 200]
+    one_by_one, words = [], tokens.WordTokenizer._words
+    monkeypatch.setattr(tokens.WordTokenizer, "_words", lambda self, chunks: one_by_one.extend(chunks) or words(self, chunks))
+    ours = tokens.WordTokenizer(WORDS)
+    for _ in range(2):
+        assert encoded(ours, texts) == library(WORDS, [t or "" for t in texts])
+    assert sorted(one_by_one) == ["it's", "日本"]
+
+
+_LATIN = st.text(st.sampled_from("aAsStérEÉlL'’.,-1²½ªº×µßİıŸſŉ\xad\xa0\x85¡ \t\n\x1c\x7fΣσ\u0301\u0331H日😀"), max_size=24)
+
+
+def test_any_latin_text():
+    ours, theirs = tokens.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+
+    @settings(max_examples=600, deadline=None)
+    @given(st.lists(_LATIN, max_size=8))
+    def check(texts):
+        expected = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+        assert encoded(ours, texts) == expected
+        assert encoded(ours, texts + texts)[len(texts) :] == expected
+        part = pa.array(["skipped é", *texts], pa.string()).slice(1)
+        assert [ids.tolist() for ids in ours.encode(part)] == expected
+
+    check()
+
+
 # -- packing ----------------------------------------------------------------
 
 
